@@ -42,16 +42,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
-def forget(df: DataFrame) -> None:
+def forget(table: DataFrame) -> None:
     """Delete the files behind a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    for name in df.inputFiles():
-        folder = name.rsplit("/", 1)[0]
-        if folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
-            where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-            return
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
