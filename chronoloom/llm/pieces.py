@@ -1,4 +1,4 @@
-"""Pre-tokenisation shared by the byte-level tokenisers."""
+"""What the operators that run Python share: batch bounds, memos, pre-tokenisation."""
 
 from __future__ import annotations
 
@@ -25,3 +25,10 @@ class Bounded(dict):
 def splitter(pattern: str):
     """``text -> list of pieces``; every piece is encoded on its own."""
     return regex.compile(pattern).findall
+
+
+def bound_batches(spark, rows: int = 1000, size: str = "8m") -> None:
+    """Hold the session's Arrow batches to sizes that a Python worker can take apart."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, secret_scan, token_count, url_filter, warc
+from . import bpe, decontaminate, embedding_dedup, language_id, line_dedup, near_dedup, secret_scan, token_count, url_filter, warc
 
 RULES = [
     url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
@@ -50,6 +50,47 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM f"""
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.item_id", "leak.overlap", "leak.question", "leak.answer")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) > 4)),
+m AS (SELECT doc_id, item_id, count(*) / any_value(n) AS overlap FROM s JOIN i USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8),
+c AS (SELECT item_id, CASE WHEN len(w) >= 10 THEN len(w) - greatest(5, ceil(len(w) / 4)::INT) ELSE len(w) END AS cut, w FROM b),
+p AS (SELECT item_id, list_distinct(w[1:cut]) AS q, list_distinct(CASE WHEN len(w) >= 10 THEN w[cut + 1:] ELSE w END) AS a FROM c),
+r AS (SELECT doc_id, item_id, overlap, len(list_intersect(q, w)) / len(q) AS question, len(list_intersect(a, w)) / len(a) AS answer FROM m JOIN p USING (item_id) JOIN d USING (doc_id))
+SELECT * FROM r WHERE question >= 0.8 AND answer >= 0.8"""
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
@@ -108,7 +149,8 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 
 
 QUERIES = {
-    "op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op7_line_dedup": op7_line_dedup, "op8_url_filter": op8_url_filter,
-    "op9_token_counts": op9_token_counts, "op10_secrets": op10_secrets,
+    "op1_byte_bpe": op1_byte_bpe, "op2_warc": op2_warc, "op3_decontaminate": op3_decontaminate, "op4_near_dedup": op4_near_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup, "op6_language_id": op6_language_id, "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter, "op9_token_counts": op9_token_counts, "op10_secrets": op10_secrets,
 }
-SQL = {"op2_warc": OP2_SQL, "op7_line_dedup": OP7_SQL, "op10_secrets": _secret_sql()}
+SQL = {"op2_warc": OP2_SQL, "op3_decontaminate": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op10_secrets": _secret_sql()}

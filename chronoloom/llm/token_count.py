@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .pieces import BYTE_LEVEL, splitter
+from .pieces import BYTE_LEVEL, bound_batches, splitter
 
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 400_000
 #: A longer piece is counted anew each time it occurs.
 LONGEST_KEPT = 256
 #: Symbols held in one ragged array at most, unless a single piece is longer.
-SYMBOLS_AT_ONCE = 1 << 20
+SYMBOLS_AT_ONCE = 1 << 18
 NONE = np.int64(1 << 60)
 
 
@@ -153,6 +153,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text:
 
     The driver reads the vocabulary file and broadcasts it (a fixed file of 1.6 MB).
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
 

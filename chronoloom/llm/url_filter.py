@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .pieces import bound_batches
+
 #: Suffixes and segments are counted in so many buckets: what the driver gathers and
 #: broadcasts has at most this many rows of each kind.
 BUCKETS = 4096
@@ -198,6 +200,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """``pages`` with host, path, rule, verdict and block_score (0 to 1, the trees' chance of a block)."""
+    bound_batches(pages.sparkSession)
     known = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     known = known.withColumn("rule", fitting_rule(rules, F.col("host"), F.col("path"), lambda r: r.name))
     ruled = fitting_rule(rules, F.col("host"), F.col("path"), lambda r: r.verdict)
