@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import interval_plans
+from .catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "interval_plans"]
