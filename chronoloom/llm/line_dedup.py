@@ -21,21 +21,22 @@ from ..shared import materialise
 LINES = 3
 
 
-def _windows(lines: Column, size: int) -> Column:
-    """An array with the hash of each window, null for blank ones."""
-    trimmed = F.transform(lines, F.trim)
+def _windows(lines: str, size: int) -> Column:
+    """An array with the hash of each window of a column of lines, null for blank ones."""
+    count = F.size(lines) - (size - 1)
+    shifted = F.arrays_zip(*[F.slice(lines, k + 1, count).alias(f"l{k}") for k in range(size)])
 
-    def window(i: Column) -> Column:
-        part = F.array_join(F.slice(trimmed, i, size), "\n")
-        return F.when(F.length(F.trim(F.translate(part, "\n", ""))) > 0, F.xxhash64(part))
+    def window(part: Column) -> Column:
+        texts = [part[f"l{k}"] for k in range(size)]
+        return F.when(F.length(F.concat(*texts)) > 0, F.xxhash64(F.concat_ws("\n", *texts)))
 
-    return F.when(F.size(lines) >= size, F.transform(F.sequence(F.lit(1), F.size(lines) - (size - 1)), window))
+    return F.when(count > 0, F.transform(shifted, window))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LINES) -> DataFrame:
     """Per document with repeated windows: doc_id, text_hash, and the covered line numbers from 0."""
-    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
-    places = materialise(keyed.select("doc_id", "text_hash", F.posexplode(_windows(F.col("lines"), size)).alias("at", "window")).where("window is not null"), "windows")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("raw")).withColumn("lines", F.transform("raw", F.trim)).drop("raw")
+    places = materialise(keyed.select("doc_id", "text_hash", F.posexplode(_windows("lines", size)).alias("at", "window")).where("window is not null"), "windows")
     place = F.struct("doc_id", "text_hash", "at")
     # one row per window that stands in two places; combined before the shuffle
     repeated = materialise(places.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -50,9 +51,10 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """``docs`` with the later occurrences cut from ``text``, and n_removed, the number of lines cut."""
     covered = repeated_lines(docs, doc_id, text, size).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("covered").alias("_covered"))
     joined = docs.join(covered, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered"))
-    rest = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
+    # a column of its own: inside the function below it would be split again for every line
+    joined = joined.withColumn("_lines", F.when(F.col("_covered").isNotNull(), F.split(text, "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
+    rest = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
     return (joined.withColumn("n_removed", F.coalesce(F.size("_covered"), F.lit(0)).cast("long"))
             .withColumn(text, F.when(F.col("_covered").isNull(), F.col(text)).otherwise(rest))
-            .drop("_id", "_hash", "_covered"))
+            .drop("_id", "_hash", "_covered", "_lines"))
