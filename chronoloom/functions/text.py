@@ -41,7 +41,7 @@ def unfold_ligatures(text: Column) -> Column:
 
 def is_fragmented(text: Column) -> Column:
     """At least 20 lines with text, more than a fifth of which are single letters."""
-    filled = F.filter(F.transform(lines_of(text), F.trim), lambda line: line != "")
+    filled = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda line: line != "")
     single = F.filter(filled, lambda line: line.rlike(r"^\p{L}$"))
     return (F.size(filled) >= 20) & (F.size(single) > 0.2 * F.size(filled))
 
@@ -92,7 +92,7 @@ def clean_text(text: Column) -> Column:
 def clean_text_plain(text: Column) -> Column:
     """C5, C7 and C8 in ASCII classes only, as an engine without lookaround can state them."""
     text = swap(F.coalesce(text, F.lit("")), ((r"[\t\f]+", " "), (r" {2,}", " ")))
-    kept = F.filter(F.transform(lines_of(text), F.trim), lambda line: ~F.lower(line).rlike(r"^page +[0-9]+$"))
+    kept = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda line: ~F.lower(line).rlike(r"^page +[0-9]+$"))
     rules = ((r"\n{3,}", "\n\n"), (r"[–—]", "-"), (r"[ \n]+\.", "."), (r"[ \n]*,[ \n]*", ", "), (r"[ \n]{2,}", " "))
     return F.trim(swap(F.array_join(kept, "\n"), rules))
 
@@ -176,7 +176,7 @@ def registration_number(text: Column) -> Column:
 
 def is_tabular(text: Column, headers: tuple[str, ...], share: float = 0.3, least: int = 5) -> Column:
     """Two distinct header words, or a large share of lines that are mostly figures."""
-    lines = F.filter(F.transform(lines_of(text), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda line: line != "")
     numeric = F.filter(lines, lambda line: line.rlike(r"^[\d\s.,/%-]+$"))
     found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(headers) + r")\b"), F.lit(1)))
     return (F.size(found) >= 2) | ((F.size(lines) >= least) & (F.size(numeric) >= share * F.size(lines)))

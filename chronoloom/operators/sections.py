@@ -69,7 +69,7 @@ def sections(lines: DataFrame, keys: list[str], order: list[str], page: str) ->
     inside = [*keys, "section_no"]
     earlier = Window.partitionBy(*inside).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum(F.length("part") + 1).over(earlier), F.lit(0)))
-    part = F.struct(*order, F.col("offset"), F.col(page).alias("page"), F.col("part"))
+    part = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col("offset"), F.col(page).alias("page"), F.col("part"))
     grouped = rows.groupBy(*inside).agg(
         F.max("heading.title").alias("section_title"), F.max("heading.site").alias("site_name"), F.min(page).alias("page_start"), F.max(page).alias("page_end"),
         F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), part))).alias("_parts"),
