@@ -240,7 +240,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     buckets = materialise(keys.groupBy("band").agg(F.min("rid").alias("leader"), F.max("rid").alias("last")).where("leader < last").select("band", "leader"), "buckets")
     members = materialise(keys.join(buckets, "band"), "members")
     wanted = members.select("rid").distinct()
-    held = materialise(rows.select("rid", "elements").join(wanted, "rid", "left_semi"), "held")
+    held = materialise(rows.select("rid", "elements").join(wanted.hint("shuffle_hash"), "rid", "left_semi"), "held")
     forget(rows)
 
     stars = members.where("rid <> leader").select("leader", "rid").distinct()
