@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .pieces import BYTE_LEVEL, Bounded, splitter
+from .pieces import BYTE_LEVEL, Bounded, bound_batches, splitter
 
-PIECES_KEPT = 400_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 250_000
+PAIRS_KEPT = 400_000
+#: Two token numbers share one key.
+SHIFT = 1 << 24
 #: A longer piece is encoded anew each time, so that the memo stays small.
 LONGEST_KEPT = 256
 
@@ -83,16 +85,17 @@ class Vocabulary:
             data, ends = halves[side], self.ranks[data]
         return [*out, (data, ends)][::-1]
 
-    def _pair_stays(self, pair: tuple[int, int]) -> bool:
+    def _pair_stays(self, key: int) -> bool:
         """Whether BPE keeps the border between two tokens, or accepts one at the start.
 
         No join across the border may come before the joins that end its two neighbours;
         of equal ranks the leftmost join comes first.
         """
-        right = self._edges[pair[1], 0]
-        if pair[0] < 0 or right is None:
+        before, token = divmod(key, SHIFT)
+        right = self._edges[token, 0]
+        if before < 0 or right is None:
             return right is not None
-        left = self._edges[pair[0], 1]
+        left = self._edges[before, 1]
         if left is None:
             return False
         i = j = 0
@@ -118,12 +121,28 @@ class Vocabulary:
                     fitting.append((start, token))
                 start -= 1
             for start, token in reversed(fitting):
-                if stays[last[start - 1] if start else -1, token]:
+                if stays[(last[start - 1] if start else -1) * SHIFT + token]:
                     last.append(token)
                     break
             else:
                 raise ValueError("the vocabulary lacks a single byte")
 
+    def last_on_demand(self, data: bytes, end: int, last: list[int]) -> int:
+        """The last token of the prefix of length ``end``, filling ``last`` (-1: unknown) only where needed."""
+        if last[end - 1] >= 0:
+            return last[end - 1]
+        tail, fitting, start, least = self.tails.get, [], end - 1, max(0, end - self.longest)
+        while start >= least and (token := tail(data[start:end])) is not None:
+            if token >= 0:
+                fitting.append((start, token))
+            start -= 1
+        stays, find = self._stays, self.last_on_demand
+        for start, token in reversed(fitting):
+            if stays[(find(data, start, last) if start else -1) * SHIFT + token]:
+                last[end - 1] = token
+                return token
+        raise ValueError("the vocabulary lacks a single byte")
+
     def read_back(self, last: list[int]) -> list[int]:
         """The encoding that the last tokens of all prefixes spell out."""
         out, end = [], len(last)
@@ -179,7 +198,12 @@ class Codec:
         if whole is not None:
             return (whole,)
         last: list[int] = []
-        self.vocabulary.last_tokens(data, last)
+        if len(data) <= LONGEST_KEPT:
+            # the same table, filled from its end: most prefixes of a short piece are never asked for
+            last = [-1] * len(data)
+            self.vocabulary.last_on_demand(data, len(data), last)
+        else:
+            self.vocabulary.last_tokens(data, last)
         return tuple(self.vocabulary.read_back(last))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -212,6 +236,7 @@ def codec_columns(spark: SparkSession, ranks_path: str, pattern: str = BYTE_LEVE
     The driver reads the vocabulary file and broadcasts it: its size is that of a
     fixed file (under 1 MB), whatever the corpus.
     """
+    bound_batches(spark)
     with open(ranks_path, "rb") as file:
         shipped = spark.sparkContext.broadcast(file.read())
 
@@ -226,8 +251,8 @@ def codec_columns(spark: SparkSession, ranks_path: str, pattern: str = BYTE_LEVE
 
     @arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        codec, flat, ends = _codec(shipped.value, pattern), ids.flatten().tolist(), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).tolist()
-        return pa.array([codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+        codec = _codec(shipped.value, pattern)
+        return pa.array([codec.decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in ids], pa.binary())
 
     return encode, decode
 
