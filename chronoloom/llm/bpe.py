@@ -13,7 +13,6 @@ column of the same name; all other columns pass through.
 from __future__ import annotations
 
 import base64
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,11 @@ from pyspark.sql.functions import arrow_udf
 
 from .pieces import BYTE_LEVEL, Bounded, bound_batches, splitter
 
-PIECES_KEPT = 250_000
+PIECES_KEPT = 400_000
 PAIRS_KEPT = 400_000
 #: Two token numbers share one key.
 SHIFT = 1 << 24
-#: A longer piece is encoded anew each time, so that the memo stays small.
+#: A longer piece (in bytes) has a table of its own and is not remembered.
 LONGEST_KEPT = 256
 
 
@@ -127,22 +126,6 @@ class Vocabulary:
             else:
                 raise ValueError("the vocabulary lacks a single byte")
 
-    def last_on_demand(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of the prefix of length ``end``, filling ``last`` (-1: unknown) only where needed."""
-        if last[end - 1] >= 0:
-            return last[end - 1]
-        tail, fitting, start, least = self.tails.get, [], end - 1, max(0, end - self.longest)
-        while start >= least and (token := tail(data[start:end])) is not None:
-            if token >= 0:
-                fitting.append((start, token))
-            start -= 1
-        stays, find = self._stays, self.last_on_demand
-        for start, token in reversed(fitting):
-            if stays[(find(data, start, last) if start else -1) * SHIFT + token]:
-                last[end - 1] = token
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
-
     def read_back(self, last: list[int]) -> list[int]:
         """The encoding that the last tokens of all prefixes spell out."""
         out, end = [], len(last)
@@ -185,35 +168,151 @@ class PrefixTable:
         return self.vocabulary.read_back(self.last)
 
 
+class BatchTable:
+    """The prefix tables of many pieces at once.
+
+    Position by position, all pieces look up the tokens that end there in a trie of
+    reversed tokens, shortest first, and keep the one that follows the prefix before it.
+    """
+
+    CACHE = 1 << 20
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        number = {b"": 0} | {t: i for i, t in enumerate(vocabulary.tails, 1)}
+        inner = {t[1:] for t in vocabulary.tails}
+        row = {t: i for i, t in enumerate(sorted(inner))}
+        self.row = np.full(len(number), -1, np.int32)
+        for t, i in row.items():
+            self.row[number[t]] = i
+        self.step = np.full((len(row), 256), -1, np.int32)
+        self.token = np.full(len(number), -1, np.int32)
+        for t, rank in vocabulary.tails.items():
+            self.step[row[t[1:]], t[0]] = number[t]
+            self.token[number[t]] = rank
+        self.length = np.zeros(max(vocabulary.tokens, default=0) + 1, np.int32)
+        for rank, t in vocabulary.tokens.items():
+            self.length[rank] = len(t)
+        # a pair's verdict may be overwritten by another pair's; it is then asked for again
+        self.known = np.full(self.CACHE, -(1 << 62), np.int64)
+        self.stays = np.zeros(self.CACHE, bool)
+
+    def _follows(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = before.astype(np.int64) * SHIFT + token
+        slot = ((key * 0x9E3779B1) >> 9) & (self.CACHE - 1)
+        new = np.flatnonzero(self.known[slot] != key)
+        out = self.stays[slot]
+        if len(new):
+            memo = self.vocabulary._stays
+            out[new] = [memo[k] for k in key[new].tolist()]
+            self.known[slot[new]], self.stays[slot[new]] = key[new], out[new]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The encoding of each piece, as the bytes of its int32 ids; pieces are not empty."""
+        if not pieces:
+            return []
+        size = np.array([len(p) for p in pieces])
+        order = np.argsort(-size, kind="stable")
+        ordered = size[order]
+        start = np.concatenate(([0], np.cumsum(ordered)[:-1]))
+        flat = np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
+        last = np.full(len(flat), -1, np.int32)
+        for at in range(int(ordered[0])):
+            todo = start[: np.searchsorted(-ordered, -at)]
+            node = np.zeros(len(todo), np.int32)
+            for width in range(1, at + 2):
+                row = self.row[node]
+                node = np.where(row >= 0, self.step[row, flat[todo + (at - width + 1)]], -1)
+                going = node >= 0
+                token = np.where(going, self.token[node], -1)
+                mine = np.flatnonzero(token >= 0)
+                if len(mine):
+                    before = last[todo[mine] + (at - width)] if width <= at else np.full(len(mine), -1, np.int32)
+                    found = mine[self._follows(before, token[mine])]
+                    last[todo[found] + at] = token[found]
+                    going[found] = False
+                todo, node = todo[going], node[going]
+                if not len(todo):
+                    break
+        # read back from the ends, one token of every piece at a time
+        owners, tokens, left, which = [], [], ordered.copy(), np.arange(len(ordered))
+        while len(which):
+            token = last[start[which] + left[which] - 1]
+            owners.append(which)
+            tokens.append(token)
+            left[which] -= self.length[token]
+            which = which[left[which] > 0]
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        turn = np.repeat(np.arange(len(owners)), [len(o) for o in owners])
+        data = token[np.lexsort((-turn, owner))].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        out, begin = [b""] * len(pieces), 0
+        for i, end in zip(order.tolist(), ends):
+            out[i] = data[begin:end]
+            begin = end
+        return out
+
+
 class Codec:
-    """Encodes whole texts piece by piece, with a bounded memo, and decodes ids."""
+    """Encodes whole texts piece by piece, with a bounded memo, and decodes ids.
+
+    The memo has two generations: when the younger is full it becomes the older, and what
+    is used again moves back, so frequent pieces are never forgotten.
+    """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str = BYTE_LEVEL):
-        self.vocabulary, self.split = vocabulary, splitter(pattern)
-        self._memo = Bounded(self.piece, PIECES_KEPT)
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        if whole is not None:
-            return (whole,)
+        self.vocabulary, self.split, self.table = vocabulary, splitter(pattern), BatchTable(vocabulary)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _one(self, data: bytes) -> bytes:
         last: list[int] = []
-        if len(data) <= LONGEST_KEPT:
-            # the same table, filled from its end: most prefixes of a short piece are never asked for
-            last = [-1] * len(data)
-            self.vocabulary.last_on_demand(data, len(data), last)
-        else:
-            self.vocabulary.last_tokens(data, last)
-        return tuple(self.vocabulary.read_back(last))
+        self.vocabulary.last_tokens(data, last)
+        return np.array(self.vocabulary.read_back(last), np.int32).tobytes()
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodings of new pieces: whole tokens, short ones together, long ones on their own."""
+        found, short = {}, []
+        for piece in pieces:
+            again = self.old.get(piece)
+            if again is not None:
+                found[piece] = again
+                continue
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)
+            if whole is not None:
+                found[piece] = np.int32(whole).tobytes()
+            elif len(data) > LONGEST_KEPT:
+                found[piece] = self._one(data)
+            else:
+                short.append((piece, data))
+        found.update(zip((p for p, _ in short), self.table.encode([d for _, d in short])))
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        out, k = [], 0
+        while k < len(texts):
+            block, held = [], 0
+            while k < len(texts) and held < 300_000:
+                block.append(self.split(texts[k] or ""))
+                held += len(block[-1])
+                k += 1
+            memo = self.young
+            new = set().union(*block).difference(memo)
+            # pieces that are too long to be kept are added for this block only
+            found = self._learn(new)
+            memo.update(found)
+            out += [np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32) for pieces in block]
+            for piece in found:
+                if len(piece) > LONGEST_KEPT:
+                    del memo[piece]
+            if len(memo) > PIECES_KEPT:
+                self.old, self.young = memo, {}
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        pieces = self.split(text or "")
-        memo = self._memo
-        if len(text or "") > LONGEST_KEPT and max(map(len, pieces), default=0) > LONGEST_KEPT:
-            found = (memo[p] if len(p) <= LONGEST_KEPT else self.piece(p) for p in pieces)
-        else:
-            found = map(memo.__getitem__, pieces)
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         tokens = self.vocabulary.tokens
@@ -243,7 +342,7 @@ def codec_columns(spark: SparkSession, ranks_path: str, pattern: str = BYTE_LEVE
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(shipped.value, pattern)
-        rows = [codec.encode(t.as_py()) for t in texts]
+        rows = codec.encode_all(texts.to_pylist())
         ends = np.zeros(len(rows) + 1, np.int32)
         np.cumsum([len(r) for r in rows], out=ends[1:])
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
