@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .pieces import BYTE_LEVEL, Bounded, bound_batches, splitter
+from .pieces import BYTE_LEVEL, Bounded, bound_batches, resident, splitter
 
 PIECES_KEPT = 400_000
 PAIRS_KEPT = 400_000
@@ -193,6 +193,8 @@ class BatchTable:
         self.length = np.zeros(max(vocabulary.tokens, default=0) + 1, np.int32)
         for rank, t in vocabulary.tokens.items():
             self.length[rank] = len(t)
+        self.bytes = np.frombuffer(b"".join(vocabulary.tokens.get(i, b"") for i in range(len(self.length))), np.uint8)
+        self.begin = np.concatenate(([0], np.cumsum(self.length, dtype=np.int64)[:-1]))
         # a pair's verdict may be overwritten by another pair's; it is then asked for again
         self.known = np.full(self.CACHE, -(1 << 62), np.int64)
         self.stays = np.zeros(self.CACHE, bool)
@@ -314,19 +316,22 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids) -> bytes:
-        tokens = self.vocabulary.tokens
-        return b"".join(map(tokens.__getitem__, ids))
-
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of many lists of ids that lie one after another, and where each list ends."""
+        table = self.table
+        length = table.length[ids].astype(np.int64)
+        upto = np.cumsum(length)
+        # byte k of the result is byte k - start of its token
+        place = np.repeat(table.begin[ids] - (upto - length), length) + np.arange(length.sum())
+        return table.bytes[place], np.concatenate(([0], upto))[ends]
 
-_codecs: dict[tuple[int, str], Codec] = {}
+    def decode(self, ids) -> bytes:
+        ids = np.asarray(ids, np.int32)
+        return self.decode_all(ids, np.array([len(ids)]))[0].tobytes()
 
 
 def _codec(blob: bytes, pattern: str) -> Codec:
-    key = hash(blob), pattern
-    if key not in _codecs:
-        _codecs[key] = Codec(Vocabulary.from_tiktoken(blob), pattern)
-    return _codecs[key]
+    return resident(("bpe", hash(blob), pattern), lambda: Codec(Vocabulary.from_tiktoken(blob), pattern))
 
 
 def codec_columns(spark: SparkSession, ranks_path: str, pattern: str = BYTE_LEVEL):
@@ -351,7 +356,11 @@ def codec_columns(spark: SparkSession, ranks_path: str, pattern: str = BYTE_LEVE
     @arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         codec = _codec(shipped.value, pattern)
-        return pa.array([codec.decode(row.values.to_numpy().tolist()) if row.is_valid else b"" for row in ids], pa.binary())
+        ends = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        data, ends = codec.decode_all(ids.flatten().to_numpy(zero_copy_only=False), ends)
+        if len(data) >= 1 << 31:
+            raise ValueError("a batch decodes to more than 2 GB: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
     return encode, decode
 
