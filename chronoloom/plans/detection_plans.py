@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as pr
 from ..functions import text as tx
 from ..operators import matching as mt
+from ..operators import records as rc
 from ..operators import sections as sc
 from ..operators import spans as sp
+from ..operators import triggers as tr
 from .catalogue import Tables, query
 
 #: A vocabulary of words that the supplied texts hold, one inside another.
@@ -143,3 +146,30 @@ def registration_numbers(t: Tables) -> DataFrame:
 def figure_catalogue(t: Tables) -> DataFrame:
     out = sp.figure_catalogue(t.conversations, marker=r"(?i)\b(?:in|of)\b", vessel="(?i)the", entry=r"(?m)^\d+[.)] ", text="text")
     return out.select("conv_id", "turn", "figure_no")
+
+
+LEXICON = tr.Lexicon(triggers=("with", "hand", "that", "this", "then"), naming=(r"(?i)\b(with\s+\p{L}+)\b", r"(?i)\b(\p{L}+\s+that)\b"), vessels=("this",), indicator=r"(?i)\b(?:with|that|hand)\b")
+
+
+@query()
+def trigger_mentions(t: Tables) -> DataFrame:
+    """Mentions around trigger words, outside the spans of the pattern scan."""
+    windows = sc.chunks(t.documents.select("doc_id", "text")).drop("text").withColumn("section_no", F.lit(1))
+    known = sp.scan(windows, PATTERNS[:1])
+    return tr.mentions(windows, LEXICON, known, keys=("doc_id", "section_no")).select("doc_id", "abs_start", "term", "name", "context_line")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey * 10 AS pos, l_linenumber = 1 AS grp, CASE WHEN l_linenumber = 1 THEN 'p1 p2 p3' ELSE 'p' || l_partkey % 9 END AS term FROM lineitem),
+y AS (SELECT *, count(*) FILTER (NOT grp AND term IN ('p1', 'p2', 'p3')) OVER (PARTITION BY l_suppkey ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1500 FOLLOWING) AS n FROM x)
+SELECT l_orderkey, l_linenumber FROM y WHERE NOT (grp AND n >= 2)""")
+def list_preview_suppress(t: Tables) -> DataFrame:
+    term = F.when(F.col("l_linenumber") == 1, "p1 p2 p3").otherwise(F.concat(F.lit("p"), F.col("l_partkey") % 9))
+    rows = t.lineitem.withColumns({"pos": F.col("l_partkey") * 10, "term": term})
+    return rc.list_previews(rows, ["l_suppkey"], "pos", "term", F.col("l_linenumber") == 1).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'variants' WHEN 2 THEN 'synonyms' ELSE 'mixed' END AS kind, (CASE WHEN p_partkey % 4 = 2 THEN 2 ELSE 1 END)::INT AS n_codes FROM part""")
+def slash_forms(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    code = F.element_at(F.array(F.concat(F.lit("Drag "), k), F.concat(F.lit("Drag "), k, F.lit("/31")), F.concat(F.lit("Drag "), k, F.lit("/Gose "), k), F.concat(F.lit("Drag "), k, F.lit("/Gose 3/44"))), (k % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", pr.slash_kind(code).alias("kind"), F.size(pr.slash_parts(code)).alias("n_codes"))

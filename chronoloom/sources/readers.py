@@ -172,6 +172,15 @@ def tagged_grids(text: Column) -> Column:
     return F.filter(zipped, lambda z: z["page"].isNotNull())
 
 
+def first_folder(spark: SparkSession, *paths: str) -> str:
+    """The first folder that exists, e.g. live outputs before frozen ones; an error names them all."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return path
+    raise FileNotFoundError(f"none of these folders exists: {', '.join(paths)}")
+
+
 #: The nested reply of a layout service: pages, blocks, paragraphs, words, symbols.
 _LEAF = "boundingBox:struct<vertices:array<struct<x:double,y:double>>>"
 LAYOUT_SCHEMA = f"struct<pages:array<struct<width:double,height:double,blocks:array<struct<{_LEAF},paragraphs:array<struct<words:array<struct<symbols:array<struct<text:string>>>>>>>>>>>"
