@@ -34,7 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 SHINGLE, SIMILARITY = 5, 0.8
 
-from .pieces import bound_batches
+from .pieces import bound_batches, resident
 
 #: One index holds items of so many characters; more items are searched in several indexes.
 INDEX_CHARS = 4_000_000
@@ -189,9 +189,6 @@ class Bm25Index:
         return out
 
 
-_indexes: dict[int, Bm25Index] = {}
-
-
 def _search(shipped, kind: str):
     """A function on texts over the index of the broadcast items, built once per worker."""
     shares = ("score", "overlap", "question", "answer")
@@ -200,11 +197,7 @@ def _search(shipped, kind: str):
 
     @arrow_udf(f"array<struct<item_id:{kind},score:double,overlap:double,question:double,answer:double>>")
     def search(texts: pa.Array) -> pa.Array:
-        key = hash(tuple(shipped.value))
-        if key not in _indexes:
-            _indexes.clear()
-            _indexes[key] = Bm25Index(shipped.value)
-        index, out = _indexes[key], []
+        index, out = resident(("bm25", hash(tuple(shipped.value))), lambda: Bm25Index(shipped.value)), []
         for k in range(0, len(texts), 200):
             for leaks in index.leaks(texts[k : k + 200].to_pylist()):
                 out.append([dict(zip(shares, x), item_id=index.items[i].item_id) for i, x in sorted(leaks.items())])

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .pieces import bound_batches
+from .pieces import bound_batches, resident
 
 #: The sample that is learned from: so many documents of a language, chosen by hash, so
 #: many characters of each, and so many characters of a language at most.
-SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 64, 2_000, 24_000
+SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 64, 2_000, 20_000
 #: The most frequent labels that are learned.
 MOST_LANGUAGES = 256
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
 _words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
@@ -126,15 +126,8 @@ class Identifier:
         return self.names[best], score, float(rates[best] / self.bits[best])
 
 
-_built: dict[int, Identifier] = {}
-
-
 def _identifier(texts: dict[str, str]) -> Identifier:
-    key = hash(tuple(sorted(texts.items())))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Identifier(texts)
-    return _built[key]
+    return resident(("language", hash(tuple(sorted(texts.items())))), lambda: Identifier(texts))
 
 
 def remainder(doc_id: str) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..operators.components import connected_components
 from ..shared import forget, materialise
-from .pieces import Bounded, bound_batches
+from .pieces import Bounded, bound_batches, resident
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at the least similarity shares a band with probability 1 - (1 - 0.8^4)^16 > 0.9997.
@@ -58,7 +58,7 @@ class Shingler:
     """Texts to elements: 32-bit numbers whose low 16 bits are the document-frequency bucket."""
 
     def __init__(self):
-        self.memo = Bounded(_word_hash, 300_000)
+        self.memo = Bounded(_word_hash, 200_000)
 
     def __call__(self, text: str | None) -> tuple[bytes | None, bytes]:
         """A key that copies share (None without words), and the sorted elements."""
@@ -136,17 +136,13 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @arrow_udf("struct<copy_key:binary,elements:binary>")
     def compute(texts: pa.Array) -> pa.Array:
-        shingler = _shinglers.setdefault(0, Shingler())
+        shingler = resident("shingler", Shingler)
         rows = [shingler(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["copy_key", "elements"])
 
     return docs.withColumn("_f", compute(F.col(text))).select(*docs.columns, "_f.copy_key", "_f.elements")
 
 
-_shinglers: dict[int, Shingler] = {}
-_samplers: dict[int, WeightedSampler] = {}
-
-
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     """ln(1 + documents / documents with the bucket), of all documents; BUCKETS numbers."""
 
@@ -219,13 +215,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     weights = spark.sparkContext.broadcast(table)  # BUCKETS numbers
 
     def sample(batches):
-        key = hash(weights.value.tobytes())
-        if key not in _samplers:
-            _samplers.clear()
-            _samplers[key] = WeightedSampler(weights.value)
+        sampler = resident(("sampler", hash(weights.value.tobytes())), lambda: WeightedSampler(weights.value))
         for batch in batches:
             rows = [np.frombuffer(e.as_py(), np.uint32) for e in batch["elements"]]
-            bands = [_samplers[key].bands(r) if len(r) else np.zeros(0, np.int64) for r in rows]
+            bands = [sampler.bands(r) if len(r) else np.zeros(0, np.int64) for r in rows]
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], batch["copy_key"], lists], ["doc_id", "rid", "copy_key", "bands"])

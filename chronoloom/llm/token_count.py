@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .pieces import BYTE_LEVEL, bound_batches, splitter
+from .pieces import BYTE_LEVEL, bound_batches, resident, splitter
 
 PIECES_KEPT = 400_000
 #: A longer piece is counted anew each time it occurs.
@@ -139,13 +139,8 @@ class Counter:
         return out
 
 
-_counters: dict[int, Counter] = {}
-
-
 def _counter(blob: bytes) -> Counter:
-    if hash(blob) not in _counters:
-        _counters[hash(blob)] = Counter(blob)
-    return _counters[hash(blob)]
+    return resident(("count", hash(blob)), lambda: Counter(blob))
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 1024, text: str = "text") -> DataFrame:
