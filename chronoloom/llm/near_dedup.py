@@ -144,7 +144,10 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """ln(1 + documents / documents with the bucket), of all documents; BUCKETS numbers."""
+    """1 + ln(1 + ln(documents / documents with the bucket)), of all documents; BUCKETS numbers.
+
+    Damped twice, so that what a large group of copies shares still outweighs its edits.
+    """
 
     def count(batches):
         found, n = np.zeros(BUCKETS, np.int64), 0
@@ -160,7 +163,7 @@ def inverse_frequencies(rows: DataFrame) -> np.ndarray:
     bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
     out = np.ones(BUCKETS)
     out[bucket[bucket >= 0]] = n[bucket >= 0]
-    return np.log1p(max(1, int(n[bucket < 0].sum())) / out)
+    return 1 + np.log1p(np.log(max(1, int(n[bucket < 0].sum())) / out))
 
 
 def _compare(grouped, weights):

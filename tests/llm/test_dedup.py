@@ -56,7 +56,7 @@ def near_classes(texts):
         if len(e):
             n += 1
             df.update(set((e & 0xFFFF).tolist()))
-    weight = lambda elements: sum(math.log1p(n / df[x & 0xFFFF]) for x in elements)
+    weight = lambda elements: sum(1 + math.log1p(math.log(n / df[x & 0xFFFF])) for x in elements)
     sets = {i: set(e.tolist()) for i, e in found.items()}
     root = {i: i for i in texts}
 
