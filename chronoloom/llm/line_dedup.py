@@ -35,7 +35,7 @@ def _windows(lines: str, size: int) -> Column:
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LINES) -> DataFrame:
     """Per document with repeated windows: doc_id, text_hash, and the covered line numbers from 0."""
-    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("raw")).withColumn("lines", F.transform("raw", F.trim)).drop("raw")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("raw")).withColumn("lines", F.transform("raw", lambda x: F.trim(x))).drop("raw")
     places = materialise(keyed.select("doc_id", "text_hash", F.posexplode(_windows("lines", size)).alias("at", "window")).where("window is not null"), "windows")
     place = F.struct("doc_id", "text_hash", "at")
     # one row per window that stands in two places; combined before the shuffle
