@@ -206,13 +206,13 @@ def _compare(grouped, weights):
     return grouped.applyInArrow(compare, "src long, dst long")
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (the smallest doc_id of its class), and kept.
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, class_id (the smallest doc_id of its class), kept, and ``carry``.
 
     ``kept`` is true for one row of each class, one with the smallest doc_id.
     """
     spark = docs.sparkSession
-    base = features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text")
+    base = features(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *carry), "text").drop("text")
     rows = materialise(base.withColumn("rid", F.monotonically_increasing_id()), "shingles")
     table = inverse_frequencies(rows.where("copy_key is not null"))
     weights = spark.sparkContext.broadcast(table)  # BUCKETS numbers
@@ -224,10 +224,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
             bands = [sampler.bands(r) if len(r) else np.zeros(0, np.int64) for r in rows]
             ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], batch["copy_key"], lists], ["doc_id", "rid", "copy_key", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in whole), lists], [*whole, "bands"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    signed = materialise(rows.mapInArrow(sample, f"doc_id {kind}, rid long, copy_key binary, bands array<long>"), "bands")
+    whole = ["doc_id", "rid", "copy_key", *carry]
+    kinds = dict(rows.dtypes)
+    signed = materialise(rows.mapInArrow(sample, ", ".join(f"`{c}` {kinds[c]}" for c in whole) + ", bands array<long>"), "bands")
     # of copies, the row with the smallest document id is compared; one small row per text
     first = F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "rid"))
     texts = materialise(signed.where("copy_key is not null").groupBy("copy_key").agg(first.alias("f"), F.min("bands").alias("bands")).select("copy_key", F.col("f.rid").alias("rid"), F.col("f.doc_id").alias("doc_id"), "bands"), "texts")
@@ -265,6 +266,6 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     best = named.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), "doc_id", "rid")).alias("f"))
     classes = named.join(best, "component").select("copy_key", F.col("f.doc_id").alias("class_id"), F.col("f.rid").alias("kept_rid"))
     # neither side is partitioned yet, so a text with many copies is split at run time
-    out = signed.select("doc_id", "rid", "copy_key").join(materialise(classes, "classes"), "copy_key", "left")
+    out = signed.select(*whole).join(materialise(classes, "classes"), "copy_key", "left")
     alone = F.col("kept_rid").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"), *carry)

@@ -60,3 +60,13 @@ def test_run_over_documents_and_over_nothing(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_of_repeated_rows_and_ids(spark, tmp_path):
+    one, two = "the same words in every copy of it here", "quite other words stand in this text now"
+    rows = [(1, one), (1, one), (2, one), (2, two), (None, two), (3, None), (3, None), (4, ""), (None, "alone with these few words of mine")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "d"))
+    kept = cp.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "d")), SF).collect()
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(1, one), (2, two), (3, None), (3, None), (4, ""), (None, "alone with these few words of mine")], key=key)
