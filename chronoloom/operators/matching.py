@@ -35,16 +35,22 @@ def lookup_first(rows: DataFrame, index: DataFrame, keys: list[Column], value: s
 
 
 def longest_keyword(texts: DataFrame, keywords: DataFrame, key: list[str], text: str = "text", keyword: str = "keyword") -> DataFrame:
-    """Per text the longest keyword that starts at a word; ties by keyword.
+    """Per text the longest keyword that starts at a word, whatever follows it; ties by keyword.
 
-    A keyword of several words stands in a text only if its first word does, so texts and
-    keywords meet on that word.
+    Both sides are reduced to lower-cased words. A text gives its distinct runs of as many
+    words as the longest keyword has, and runs and keywords meet on as many first characters
+    as the shortest keyword has (two numbers that are read first). Texts do not travel.
     """
-    first_word = F.regexp_extract(F.lower(F.col(keyword)), r"^[\p{L}\p{N}]+", 0)
-    words = texts.select(*key, F.lower(text).alias("_low"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_word"))
-    found = words.join(keywords.select(F.lower(keyword).alias("keyword"), first_word.alias("_word")).distinct(), "_word")
-    found = found.where(F.contains(F.concat(F.lit(" "), F.regexp_replace("_low", r"[^\p{L}\p{N}]+", " ")), F.concat(F.lit(" "), F.col("keyword"))))
-    return found.groupBy(*key).agg(F.max(F.struct(F.length("keyword").alias("n"), F.col("keyword").alias("k"))).alias("_b")).select(*key, F.col("_b.k").alias("keyword"))
+    word = r"[\p{L}\p{N}]+"
+    wanted = keywords.select(F.col(keyword).alias("keyword"), F.regexp_extract_all(F.lower(keyword), F.lit(word), F.lit(0)).alias("_w")).where("size(_w) > 0").select("keyword", F.array_join("_w", " ").alias("_norm"), F.size("_w").alias("_n"))
+    size = wanted.agg(F.max("_n").alias("words"), F.min(F.length("_norm")).alias("letters")).first()
+    words, letters = size.words or 1, min(size.letters or 1, 8)
+    rows = texts.select(*key, F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)).alias("_w"))
+    shifted = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.lit(0), F.size("_w") - k)).alias(f"w{k}") for k in range(words)])
+    runs = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(words)])))
+    runs = rows.where("size(_w) > 0").withColumn("_runs", runs).select(*key, F.explode("_runs").alias("_run")).withColumn("_head", F.left("_run", F.lit(letters)))
+    found = runs.join(wanted.withColumn("_head", F.left("_norm", F.lit(letters))), "_head").where(F.startswith("_run", "_norm"))
+    return found.groupBy(*key).agg(F.max(F.struct(F.length("keyword").alias("n"), F.lower("keyword").alias("k"))).alias("_b")).select(*key, F.col("_b.k").alias("keyword"))
 
 
 def verified_quotes(quotes: DataFrame, reports: DataFrame, quote_id: str, report_id: str, quote: str = "text", text: str = "text", prefix: int = 40, block: int = 4) -> DataFrame:

@@ -109,7 +109,7 @@ def typology_lookup_coalesce(t: Tables) -> DataFrame:
 
 @query(r"""WITH k AS (SELECT DISTINCT lower(w[1]) AS keyword FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) UNION SELECT DISTINCT lower(w[2] || ' ' || w[3]) FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark)),
 d AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, (max((length(keyword), keyword)))[2] AS keyword FROM d JOIN k ON contains(t, ' ' || keyword) AND list_contains(string_split(t, ' '), string_split(keyword, ' ')[1]) GROUP BY doc_id""")
+SELECT doc_id, (max((length(keyword), keyword)))[2] AS keyword FROM d JOIN k ON contains(t, ' ' || keyword) GROUP BY doc_id""")
 def keyword_longest_match(t: Tables) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     keys = t.benchmark.select(F.explode(F.array(F.get(words, 0), F.concat_ws(" ", F.get(words, 1), F.get(words, 2)))).alias("keyword")).where("keyword <> ''")

@@ -174,6 +174,13 @@ def test_endpoint_verdict(spark, gold, found, typed, want):
     assert row.select(sg.endpoint_verdict(F.col("g"), F.col("f"), F.col("t")).alias("v")).first().v == want
 
 
+def test_longest_keyword(spark):
+    texts = spark.createDataFrame([(1, "Drie bekers en een terra-sigillata kom"), (2, "standbeeld"), (3, ""), (4, None), (5, "de kom")], "i int, text string")
+    words = spark.createDataFrame([("beker",), ("Beeld",), ("terra sigillata",), ("kom",), ("",), (None,)], "keyword string")
+    assert {r.i: r.keyword for r in mt.longest_keyword(texts, words, ["i"]).collect()} == {1: "terra sigillata", 5: "kom"}
+    assert mt.longest_keyword(texts, words.where("false"), ["i"]).count() == 0
+
+
 def test_dedup_is_idempotent(spark):
     rows = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (2, 1, "c")], "k int, pos int, v string")
     once = sp.first_by_position(rows, ["k"], ["pos"])
