@@ -175,7 +175,7 @@ class BatchTable:
     reversed tokens, shortest first, and keep the one that follows the prefix before it.
     """
 
-    CACHE = 1 << 20
+    CACHE = 1 << 21
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -201,7 +201,7 @@ class BatchTable:
 
     def _follows(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         key = before.astype(np.int64) * SHIFT + token
-        slot = ((key * 0x9E3779B1) >> 9) & (self.CACHE - 1)
+        slot = ((key * 0x9E3779B1) >> 8) & (self.CACHE - 1)
         new = np.flatnonzero(self.known[slot] != key)
         out = self.stays[slot]
         if len(new):

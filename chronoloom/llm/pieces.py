@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 
 import regex
@@ -35,26 +36,34 @@ def resident(key, build):
     """
     if key not in _resident:
         _resident.clear()
+        gc.collect()
         _resident[key] = build()
     return _resident[key]
 
 
-#: What the classes of the pattern mean in a text of ASCII characters alone.
-_ASCII = (("[^\\s\\p{L}\\p{N}]", "[^\\sA-Za-z0-9]"), ("\\p{L}", "[A-Za-z]"), ("\\p{N}", "[0-9]"))
+#: What the classes of the pattern mean in a text of Latin-1 characters alone.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \\t-\\r\u0085\u00a0"
+_LATIN = (("[^\\s\\p{L}\\p{N}]", f"[^{_SPACES}{_LETTERS}{_NUMBERS}]"), ("\\p{L}", f"[{_LETTERS}]"), ("\\p{N}", f"[{_NUMBERS}]"), ("\\s", f"[{_SPACES}]"), ("\\S", f"[^{_SPACES}]"))
 
 
 def splitter(pattern: str):
     """``text -> list of pieces``; every piece is encoded on its own.
 
-    Texts of ASCII characters take the narrower classes, which match the same there.
+    Texts of Latin-1 characters take narrower classes, which match the same there.
     """
     narrow = pattern
-    for wide, ascii_only in _ASCII:
-        narrow = narrow.replace(wide, ascii_only)
-    everywhere, plain = regex.compile(pattern).findall, None if "\\p" in narrow else re.compile(narrow, re.ASCII).findall
+    for wide, latin in _LATIN:
+        narrow = narrow.replace(wide, latin)
+    everywhere, plain = regex.compile(pattern).findall, None if "\\" in narrow.replace("\\t-\\r", "") else re.compile(narrow).findall
 
     def split(text: str) -> list[str]:
-        return plain(text) if plain and text.isascii() else everywhere(text)
+        if plain:
+            try:
+                text.isascii() or text.encode("latin-1")
+                return plain(text)
+            except UnicodeEncodeError:
+                pass
+        return everywhere(text)
 
     return split
 
