@@ -22,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .pieces import BYTE_LEVEL, Bounded, bound_batches, resident, splitter
 
-PIECES_KEPT = 400_000
+PIECES_KEPT = 200_000
 PAIRS_KEPT = 400_000
 #: Two token numbers share one key.
 SHIFT = 1 << 24
