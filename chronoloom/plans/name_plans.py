@@ -16,7 +16,7 @@ REACH = "r(x, y) AS (SELECT x, x FROM (SELECT x FROM l UNION SELECT y FROM l) UN
 l AS (SELECT a.name AS x, b.name AS y FROM n a JOIN n b ON a.name < b.name AND len(list_intersect(a.t, b.t)) > 0 AND (len(list_intersect(a.t, b.t)) = len(a.t) OR len(list_intersect(a.t, b.t)) = len(b.t) OR len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6)),
 {REACH} SELECT name, coalesce(root, name) AS component FROM n LEFT JOIN c ON name = node""")
 def site_components(t: Tables) -> DataFrame:
-    names = t.part.where("p_size % 25 = 1").select(F.col("p_name").alias("name")).distinct()
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
     labels = connected_components(nm.similar_names(names, least=0.6))
     return names.join(labels, names["name"] == labels["node"], "left").select("name", F.coalesce("component", "name").alias("component"))
 
