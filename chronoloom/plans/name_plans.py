@@ -28,7 +28,7 @@ def site_canonical_names(t: Tables) -> DataFrame:
 
 @query(f"""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS x, (o_orderkey % 997) + 100000 AS y FROM orders WHERE o_orderkey % 9 = 0), {REACH} SELECT node AS code, root FROM c""")
 def synonym_components(t: Tables) -> DataFrame:
-    pairs = t.orders.where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 100000).alias("b"))
+    pairs = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 100000).alias("b"))
     return nm.synonym_groups(pairs, "a", "b")
 
 

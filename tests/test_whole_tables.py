@@ -1,5 +1,13 @@
 """Registered queries over all rows of small tables, against brute force."""
 
+import hashlib
+import math
+import re
+
+import numpy as np
+import pytest
+
+from chronoloom.operators import matching as mt
 from chronoloom.plans import registry
 
 
@@ -24,3 +32,12 @@ def test_site_components_read_every_name(spark, tmp_path):
     near = [(a, b) for a in tokens for b in tokens if (c := tokens[a] & tokens[b]) and (c in (tokens[a], tokens[b]) or len(c) / len(tokens[a] | tokens[b]) >= 0.6)]
     got = {r.name: r.component for r in registry.QUERIES["site_components"](spark, str(tmp_path)).collect()}
     assert got == components(tokens, near) and got["gamma"] == "alpha beta" and got["omega"] == "omega"
+
+
+def test_synonym_components_read_every_order(spark, tmp_path):
+    # keys 1, 2 and 998 are not multiples of 9; 1 and 998 name the same code
+    orders = [(1, 70), (998, 50), (2, 50), (9, 60), (4, 61)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    links = [(c, o % 997 + 100000) for o, c in orders]
+    got = {r.code: r.root for r in registry.QUERIES["synonym_components"](spark, str(tmp_path)).collect()}
+    assert got == components({x for link in links for x in link}, links) and got[70] == got[100002] == 50
