@@ -77,7 +77,7 @@ c AS (SELECT sim, bin, count(*) AS n FROM d GROUP BY ALL),
 f AS (SELECT bins.bin, coalesce(n, 0) AS n FROM range(20) r(sim) CROSS JOIN bins LEFT JOIN c ON c.sim = r.sim AND c.bin = bins.bin)
 SELECT bin, avg(n) AS mc_mean, stddev_pop(n) AS mc_sd, quantile_cont(n, 0.05) AS p5, quantile_cont(n, 0.95) AS p95 FROM f GROUP BY bin""")
 def mc_sampled_band(t: Tables) -> DataFrame:
-    return iv.monte_carlo_band(finds(t), sims=20)
+    return iv.monte_carlo_band(finds(t), sims=1000)
 
 
 @query(f"""WITH {REC}, {LINES},

@@ -41,3 +41,22 @@ def test_synonym_components_read_every_order(spark, tmp_path):
     links = [(c, o % 997 + 100000) for o, c in orders]
     got = {r.code: r.root for r in registry.QUERIES["synonym_components"](spark, str(tmp_path)).collect()}
     assert got == components({x for link in links for x in link}, links) and got[70] == got[100002] == 50
+
+
+def test_sampled_band_has_a_thousand_simulations(spark, tmp_path):
+    orders = [(k, k % 7) for k in range(1, 13)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, k % 3) for k in range(7)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    counts = np.zeros((1000, 19))
+    for k, c in orders:
+        start = k * 37 % 500 - 52
+        for sim in range(1000):
+            u = int(hashlib.md5(f"{k}:{sim}:42".encode()).hexdigest()[:8], 16) / 4294967296
+            at = math.floor((start + u * (1 + c % 200) + 12) / 25)
+            if 0 <= at < 19:
+                counts[sim, at] += 1
+    got = {r.bin: (r.mc_mean, r.mc_sd, r.p5, r.p95) for r in registry.QUERIES["mc_sampled_band"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(19))
+    for b in range(19):
+        n = counts[:, b]
+        assert got[b] == pytest.approx((n.mean(), n.std(), np.quantile(n, 0.05), np.quantile(n, 0.95)), abs=1e-9)
