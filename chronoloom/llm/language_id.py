@@ -2,9 +2,11 @@
 
 A suffix automaton is built of some labelled text per language. A text is parsed
 greedily into the longest phrases that occur in the automaton's text; a language
-whose text resembles it needs few. The number of phrases c against a training text of
-n characters is normalised to c * log2(n) / length, an estimate of the cross entropy in
-bits per character, and the language with the least wins. The parse starts anew at every
+whose text resembles it needs few. A phrase is charged what writing it down takes: its
+place in the training text of n characters, log2(n) bits, and its length, LENGTH_BITS; an
+unknown character is spelled besides, in SPELL_BITS. So a language of which little was
+learned pays for what it lacks. The sum over the length estimates the cross entropy in bits
+per character, and the language with the least wins. The parse starts anew at every
 word, so a word's phrases are counted once per worker and looked up afterwards.
 
 ``und`` is predicted, with score 0, for null texts, texts without a letter, and where
@@ -32,6 +34,8 @@ SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 64, 2_000, 20_000
 #: The most frequent labels that are learned.
 MOST_LANGUAGES = 256
 WORDS_KEPT = 200_000
+#: Bits for the length of a phrase, up to 16 characters, and for a character out of all of Unicode.
+LENGTH_BITS, SPELL_BITS = 4.0, math.log2(0x110000)
 _words = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
@@ -71,8 +75,12 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """How many longest matches cover ``text``; an unknown character is a phrase of its own."""
+        return self.parse(text)[0]
+
+    def parse(self, text: str) -> tuple[int, int]:
+        """The phrases that cover ``text``, and how many of them are unknown characters."""
         following, root = self.next, self.next[0]
-        state = count = 0
+        state = count = unknown = 0
         for c in text:
             to = following[state].get(c)
             if to is None:
@@ -80,9 +88,10 @@ class SuffixAutomaton:
                 to = root.get(c)
                 if to is None:
                     count += 1
+                    unknown += 1
                     to = 0
             state = to
-        return count + (state > 0)
+        return count + (state > 0), unknown
 
 
 class Identifier:
@@ -91,20 +100,21 @@ class Identifier:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
         self.automata = [SuffixAutomaton(texts[n]) for n in self.names]
-        self.bits = np.array([math.log2(max(2, a.size)) for a in self.automata])
+        self.bits = np.array([math.log2(max(2, a.size)) + LENGTH_BITS for a in self.automata])
         self.places: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.names) + 1), np.int32)
+        self.counts = np.zeros((1024, 2 * len(self.names) + 1), np.int32)
 
     def _learn(self, word: str) -> int:
         place = self.places[word] = len(self.places)
         if place == len(self.counts):
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         padded = f" {word} "
-        self.counts[place] = [*(a.phrases(padded) for a in self.automata), len(word) + 1]
+        counts, unknown = zip(*(a.parse(padded) for a in self.automata))
+        self.counts[place] = [*counts, *unknown, len(word) + 1]
         return place
 
-    def rates(self, text: str | None) -> np.ndarray | None:
-        """Bits per character for each language; None if the text has no letter."""
+    def rates(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Bits and phrases per character for each language; None if the text has no letter."""
         words = words_of(text)
         if not words or not self.names:
             return None
@@ -113,17 +123,19 @@ class Identifier:
         places, learn = self.places, self._learn
         found = [places[w] if w in places else learn(w) for w in words]
         total = self.counts[found].sum(axis=0, dtype=np.int64)
-        return total[:-1] * self.bits / total[-1]
+        phrases, unknown = total[:-1].reshape(2, -1) / total[-1]
+        return phrases * self.bits + unknown * SPELL_BITS, phrases
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """The language, a score from 0 to 1, and the winner's phrases per character."""
-        rates = self.rates(text)
-        if rates is None:
+        found = self.rates(text)
+        if found is None:
             return "und", 0.0, 1.0
+        rates, phrases = found
         best = int(rates.argmin())
         rest = np.delete(rates, best)
         score = float(rest.min() / (rest.min() + rates[best])) if len(rest) else 1.0
-        return self.names[best], score, float(rates[best] / self.bits[best])
+        return self.names[best], score, float(phrases[best])
 
 
 def _identifier(texts: dict[str, str]) -> Identifier:
