@@ -53,21 +53,29 @@ def longest_keyword(texts: DataFrame, keywords: DataFrame, key: list[str], text:
     return found.groupBy(*key).agg(F.max(F.struct(F.length("keyword").alias("n"), F.lower("keyword").alias("k"))).alias("_b")).select(*key, F.col("_b.k").alias("keyword"))
 
 
-def verified_quotes(quotes: DataFrame, reports: DataFrame, quote_id: str, report_id: str, quote: str = "text", text: str = "text", prefix: int = 40, block: int = 4) -> DataFrame:
+def verified_quotes(quotes: DataFrame, reports: DataFrame, quote_id: str, report_id: str, quote: str = "text", text: str = "text", prefix: int = 40, widths: tuple[int, ...] = (8, 16)) -> DataFrame:
     """(quote_id, report_id) where the normalised quote, or its first characters, stands in the report.
 
-    Both sides are reduced to letters and digits. A report holds a quote's beginning only if
-    it holds its first words in a row, so quotes and reports meet on the first ``block`` whole
-    words and only those pairs are compared.
+    Both sides are reduced to letters and digits. A report is cut into blocks of a width;
+    2 * width - 1 characters that stand in it cover a whole block, wherever they start, so a
+    quote's beginning asks for its first ``width`` runs of that width, and only pairs that meet
+    are compared. Beginnings too short for the smallest width are looked up whole among
+    the report's runs of their lengths (numbers below 2 * width - 1 that are read first).
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
-    asked = quotes.select(F.col(quote_id), words(quote).alias("_w"), tx.only_alnum(F.col(quote)).alias("_q")).where("_q <> ''")
-    asked = asked.select(quote_id, F.array_join(F.slice("_w", 1, block), " ").alias("_key"), F.left("_q", F.lit(prefix)).alias("_head"))
-    held = reports.select(F.col(report_id), words(text).alias("_w"), tx.only_alnum(F.col(text)).alias("_t"))
-    # shifted copies side by side: no function over the words looks at the whole array again
-    shifted = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.lit(1), F.size("_w") - block + 1)).alias(f"w{k}") for k in range(block)])
-    keys = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(block)])))
-    pairs = held.where(F.size("_w") > 0).withColumn("_keys", keys).select(report_id, F.explode("_keys").alias("_key")).join(asked, "_key")
+    asked = quotes.select(F.col(quote_id), F.left(tx.only_alnum(F.col(quote)), F.lit(prefix)).alias("_head")).where("_head <> ''")
+    size = F.length("_head")
+    least = 2 * min(widths) - 1
+    short = sorted(r.n for r in asked.where(size < least).select(size.alias("n")).distinct().collect())
+    runs = lambda w: F.array(*[F.substring("_head", k + 1, w) for k in range(w)])
+    own = F.when(size < least, F.array("_head"))
+    for w in sorted(widths, reverse=True):
+        own = own.when(size >= 2 * w - 1, runs(w))
+    asked = asked.select(quote_id, "_head", F.explode(own).alias("_key"))
+    held = reports.select(F.col(report_id), tx.only_alnum(F.col(text)).alias("_t"))
+    # cut by expressions that read the text once each: no function looks up a place in it
+    cut = lambda w, k: F.regexp_extract_all(F.substring("_t", k + 1, 2**31 - 1), F.lit(f".{{{w}}}"), F.lit(0))
+    keys = F.array_distinct(F.concat(*[cut(w, 0) for w in widths], *[cut(n, k) for n in short for k in range(n)]))
+    pairs = held.where("_t <> ''").select(report_id, F.explode(keys).alias("_key")).join(asked, "_key")
     pairs = pairs.select(report_id, quote_id, "_head").distinct()
     return pairs.join(held.select(report_id, "_t"), report_id).where(F.contains("_t", "_head")).select(quote_id, report_id)
 

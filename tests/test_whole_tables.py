@@ -60,3 +60,16 @@ def test_sampled_band_has_a_thousand_simulations(spark, tmp_path):
     for b in range(19):
         n = counts[:, b]
         assert got[b] == pytest.approx((n.mean(), n.std(), np.quantile(n, 0.05), np.quantile(n, 0.95)), abs=1e-9)
+
+
+def test_quotes_of_any_length_are_found(spark):
+    body = "Inhumation graves, with a hand-\nformed beaker of Niederbieber type 33 and someoldcoins, were found below the eastern wall (late phase)."
+    plain = re.sub("[^a-z0-9]", "", body.lower())
+    cuts = [plain[a : a + n] for a in (0, 3, 11, 30, 47) for n in (1, 2, 5, 9, 14, 15, 16, 22, 30, 31, 33, 40, 60)]
+    quotes = [*cuts, "beaker", "Niederbieber type", "hand-formed beaker of", "ormed beaker of Niederb", "some old coins were found below", "absent", "wall below", "", "...", body]
+    reports = [body, plain[20:70], "nothing of it", "", None]
+    norm = lambda t: re.sub("[^a-z0-9]", "", (t or "").lower())
+    want = {(i, j) for i, q in enumerate(quotes) for j, r in enumerate(reports) if norm(q) and norm(q)[:40] in norm(r)}
+    asked = spark.createDataFrame(list(enumerate(quotes)), "q long, text string")
+    got = mt.verified_quotes(asked, spark.createDataFrame(list(enumerate(reports)), "r long, text string"), "q", "r").collect()
+    assert sorted((r.q, r.r) for r in got) == sorted(want)
