@@ -36,10 +36,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, the one with the smallest id.
 
-    ``docs`` is a table read from files, so its rows have the same numbers in both passes;
-    rows are dropped by number, which keeps one of several rows with equal ids too.
+    Rows are dropped by number, which keeps one of several rows with equal ids too. The
+    numbers are written with the rows: a second scan of the same files may pack them
+    otherwise and would number other rows.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     gone = near_dedup.near_duplicate_classes(numbered, carry=("_row",)).where(~F.col("kept")).select("_row")
     return numbered.join(gone, "_row", "left_anti").select(COLUMNS)
 
