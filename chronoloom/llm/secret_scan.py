@@ -1,12 +1,15 @@
 """Secret scanning through a trigram inverted index, with DataFrame functions only.
 
 Every rule's expression gives a Boolean trigram query. The index holds a posting
-(trigram, document) for each trigram that some query names. Intersecting a document's
-postings tells which rules can match it; only those are run on its text. Rules whose
-query is empty run on every text.
-
-Null texts hold nothing. Documents with equal ids and texts are scanned alike; an empty
-table gives an empty result. Columns of the input other than the id are not returned.
+(trigram, row) for each trigram that some query names; there may be any number of them.
+Intersecting a row's postings tells which rules can match it; only the texts of such
+candidates are read again, and only those rules are run on them. Rules whose query is
+empty run on every text in the scan that makes the postings, so no text is moved for them.
+
+Null texts hold nothing. Texts may be of any length: matching neither recurses nor takes
+quadratic time, and a text is held whole by one row at a time. Rows with equal ids and
+texts are scanned alike; an empty table gives an empty result. Columns of the input other
+than the id are not returned, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,30 +39,43 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
-#: Further kinds with published token formats.
+#: Further kinds with published token formats. No expression repeats a group without a
+#: bound, and what may fail after a long run has a bounded run: the header of a key has at
+#: most four words before ``PRIVATE KEY``, the header of a web token at most 503 characters.
+#: So a rule takes time in proportion to the text, whatever the text holds.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]{1,16} ){0,4}PRIVATE KEY-----"),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,500}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
 
-def _holds(query, bits: Column, numbers: dict[str, int]) -> Column:
+#: Trigrams whose postings meet in one long.
+WORD = 63
+#: The matches of one rule in a text.
+FOUND = "struct<rule:int,parts:array<struct<gap:int,len:int,size:int>>>"
+
+
+def _holds(query, numbers: dict[str, int]) -> Column:
     if isinstance(query, str):
-        return F.getbit(bits, F.lit(numbers[query])) == 1
-    parts = [_holds(q, bits, numbers) for q in query[1]]
+        word, bit = divmod(numbers[query], WORD)
+        return F.getbit(f"bits{word}", F.lit(bit)) == 1
+    parts = [_holds(q, numbers) for q in query[1]]
     out = parts[0]
     for part in parts[1:]:
         out = out & part if query[0] == "and" else out | part
     return out
 
 
-def build_index(keyed: DataFrame, trigrams: list[str], text: str) -> DataFrame:
-    """Postings (trigram number, key) of the given trigrams in the lower-cased texts."""
-    low = keyed.select("key", F.lower(F.col(text)).alias("low"))
-    held = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])
-    return low.select("key", F.explode(F.array_compact(held)).alias("trigram"))
+def _found(number: int, rule: Rule, text: str) -> Column:
+    """All matches of a rule: the gap before each, its length and the length of its group; null without any."""
+    pattern = F.lit(rule.pattern)
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    size = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
+    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    parts = F.struct(F.lit(number).alias("rule"), F.arrays_zip(gaps.alias("gap"), found.alias("len"), size.alias("size")).alias("parts"))
+    return F.when(F.rlike(text, pattern), parts)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,36 +86,35 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     """
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_of, queries)))
-    if len(trigrams) > 63:
-        raise ValueError("more than 63 trigrams: split the rules into several scans")
     numbers = {t: i for i, t in enumerate(trigrams)}
+    asking = [i for i, q in enumerate(queries) if q is not None]
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
-    # one row per posting; a key's postings meet in one long, combined before the shuffle
-    candidates = (build_index(keyed, trigrams, "text")
-                  .groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("bits")))
-    for i, query in enumerate(queries):
-        candidates = candidates.withColumn(f"r{i}", F.lit(True) if query is None else _holds(query, F.col("bits"), numbers))
-    some = [f"r{i}" for i, q in enumerate(queries) if q is not None]
-    candidates = candidates.where(" or ".join(some) if some else "true").drop("bits")
-    joined = keyed.join(candidates.hint("shuffle_hash"), "key", "left")
-
-    def scan(i: int, rule: Rule) -> Column:
-        pattern = F.lit(rule.pattern)
-        found = F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), F.length)
-        size = F.transform(F.regexp_extract_all("text", pattern, F.lit(rule.group)), F.length)
-        gaps = F.transform(F.split("text", rule.pattern, -1), F.length)
-        hit = F.rlike(F.col("text"), pattern)
-        if queries[i] is not None:
-            hit = F.coalesce(F.col(f"r{i}"), F.lit(False)) & hit
-        parts = F.struct(F.lit(i).alias("rule"), F.arrays_zip(gaps.alias("gap"), found.alias("len"), size.alias("size")).alias("parts"))
-        return F.when(hit, parts)
-
-    scanned = joined.select("doc_id", F.array_compact(F.array(*[scan(i, r) for i, r in enumerate(rules)])).alias("found"))
-    # numbered once, when written: from here on the texts are not needed
-    scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    parts = (scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f"))
-             .select("row", "f.rule", F.posexplode("f.parts").alias("at", "part")))
+    keyed = keyed.withColumn("digest", F.unhex(F.md5("text")))
+    # one scan of the texts: postings, and the matches of rules that every text must be scanned for
+    low = keyed.withColumn("low", F.lower("text"))
+    held = F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    full = F.array_compact(F.array(F.lit(None).cast(FOUND), *[_found(i, r, "text") for i, r in enumerate(rules) if queries[i] is None]))
+    # numbered once, when written: from here on a row is known by its number
+    rows = materialise(low.select("doc_id", "digest", F.monotonically_increasing_id().alias("row"), held.alias("trigrams"), full.alias("found")), "secrets")
+    if asking:
+        words = [F.bit_or(F.when(F.floor(F.col("trigram") / WORD) == w, F.expr(f"shiftleft(1L, trigram % {WORD})")).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}") for w in range(-(-len(trigrams) // WORD))]
+        postings = rows.select("row", F.explode("trigrams").alias("trigram"))
+        # a row's postings meet, combined before the shuffle; rows that no rule can match go
+        candidates = postings.groupBy("row").agg(*words).select("row", F.array_compact(F.array(*[F.when(_holds(queries[i], numbers), F.lit(i)) for i in asking])).alias("asks")).where(F.size("asks") > 0)
+        asked = materialise(rows.select("row", "doc_id", "digest").join(candidates, "row"), "candidates")
+        # only candidates are verified; a written table tells the planner whether it may be broadcast
+        wanted = asked.groupBy("doc_id", "digest").agg(F.max("asks").alias("asks"))
+        wanted = materialise(wanted, "wanted").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "asks")
+        texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")))
+        checked = F.array_compact(F.array(*[F.when(F.array_contains("asks", F.lit(i)), _found(i, rules[i], "text")) for i in asking]))
+        verified = texts.select("id", "of", checked.alias("matches")).where(F.size("matches") > 0)
+        # rows with equal ids and texts find the same; small rows meet their finds
+        verified = verified.groupBy("id", "of").agg(F.max("matches").alias("found"))
+        verified = asked.join(verified, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("row", "found")
+        parts = rows.where(F.size("found") > 0).select("row", "found").unionByName(verified)
+    else:
+        parts = rows.where(F.size("found") > 0).select("row", "found")
+    parts = (parts.select("row", F.explode("found").alias("f")).select("row", "f.rule", F.posexplode("f.parts").alias("at", "part")))
     upto = Window.partitionBy("row", "rule").orderBy("at")
     spans = parts.select("row", "rule", "part.size", "part.len", F.sum(F.col("part.gap") + F.coalesce(F.col("part.len"), F.lit(0))).over(upto).alias("end"))
     least = F.array(*[F.lit(r.least) for r in rules])
@@ -108,7 +123,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("len")).alias("start"), "rule", "end"))).alias("s")))
     spans = spans.select("row", F.transform("s", lambda s: F.struct(F.element_at(kinds, s["rule"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
-    return scanned.select("doc_id", "row").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return rows.select("doc_id", "row").join(spans, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def joined_spans(spans: Column) -> Column:
