@@ -5,9 +5,9 @@ depth, digit ratio, entropy, parameter counts, and statistics of the host's suff
 of the path's first segment (how often labelled URLs with them are blocked).
 
 A null URL, or one without ``://``, has an empty host and path; no rule fits it and the
-trees judge its features. Repeated rows are judged alike. Without labelled URLs
-everything that no rule fits is allowed. Output columns replace input columns of the
-same name.
+trees judge its features. Repeated rows are judged alike, and URLs of any length whole.
+Without labelled URLs everything that no rule fits is allowed. Output columns replace
+input columns of the same name.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from .pieces import bound_batches
 #: Suffixes and segments are counted in so many buckets: what the driver gathers and
 #: broadcasts has at most this many rows of each kind.
 BUCKETS = 4096
-#: Labelled URLs that the trees are fitted on, chosen by hash; the statistics use all.
-SAMPLE = 20_000
+#: Different labelled URLs that the trees are fitted on, those with the smallest hashes, each
+#: with its number of rows as its weight; the statistics use all.
+SAMPLE = 4_000
 
 
 class Rule(NamedTuple):
@@ -44,15 +45,29 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.locate("://", url)
+    return F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit(""))
+
+
+def _upto(text: Column, marks: str) -> Column:
+    """The part before the first of some characters. Plain searches: no text can make them recurse."""
+    for mark in marks:
+        text = F.substring_index(text, mark, 1)
+    return text
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end; A-Z lower-cased."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.coalesce(F.translate(F.regexp_extract(url, r"^(?s:(?:(?!://).)*)://([^/?#]*)", 1), upper, lower), F.lit(""))
+    return F.translate(_upto(_after_scheme(url), "/?#"), upper, lower)
 
 
 def path_of(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"^(?s:(?:(?!://).)*)://[^/?#]*([^?#]*)", 1), F.lit(""))
+    rest = _after_scheme(url)
+    return _upto(rest.substr(F.length(_upto(rest, "/?#")) + 1, F.length(rest)), "?#")
 
 
 def fitting_rule(rules: list[Rule], host: Column, path: Column, pick) -> Column:
@@ -102,8 +117,10 @@ class BoostedTrees:
         self.rounds, self.depth, self.bins, self.rate, self.ridge = rounds, depth, bins, rate, ridge
         self.base, self.trees, self.edges = 0.0, [], []
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray) -> BoostedTrees:
-        positive = (labels.sum() + 0.5) / (len(labels) + 1)
+    def fit(self, rows: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None) -> BoostedTrees:
+        """Fit on one row for each example; ``times`` weighs them (by 1 each if absent)."""
+        times = np.ones(len(labels)) if times is None else times * (len(times) / max(1.0, times.sum()))
+        positive = ((times * labels).sum() + 0.5) / (len(labels) + 1)
         self.base = math.log(positive / (1 - positive))
         if not len(labels):
             self.base = -1.0
@@ -114,7 +131,7 @@ class BoostedTrees:
         score = np.full(len(labels), self.base)
         for _ in range(self.rounds):
             chance = 1 / (1 + np.exp(-score))
-            tree, leaf = self._grow(binned, labels - chance, chance * (1 - chance))
+            tree, leaf = self._grow(binned, times * (labels - chance), times * chance * (1 - chance))
             self.trees.append(tree)
             score += self.rate * tree[2][leaf]
         return self
@@ -172,7 +189,7 @@ class UrlModel(NamedTuple):
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
-    """Fit on (url, host, path, blocked); statistics over all rows, trees over ``sample`` of them."""
+    """Fit on (url, host, path, blocked); statistics over all rows, trees over ``sample`` URLs at most."""
 
     @arrow_udf("int")
     def suffix(hosts: pa.Array) -> pa.Array:
@@ -182,7 +199,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
     def segment(paths: pa.Array) -> pa.Array:
         return pa.array([segment_bucket(p) for p in paths.to_pylist()], pa.int32())
 
-    counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("host"), F.regexp_extract("path", r"^/*([^/]*)", 1).alias("path")).agg(F.sum(F.col("blocked").cast("long")).alias("b"), F.count("*").alias("n"))
+    counted = labelled.groupBy(F.substring_index("host", ".", -1).alias("host"), F.substring_index(F.ltrim("path", F.lit("/")), "/", 1).alias("path")).agg(F.sum(F.col("blocked").cast("long")).alias("b"), F.count("*").alias("n"))
     counted = counted.select(suffix("host").alias("suffix"), segment("path").alias("segment"), "b", "n")
     sides = counted.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("suffix").alias("bucket")), F.struct(F.lit(1).alias("side"), F.col("segment").alias("bucket")))).alias("k"), "b", "n")
     stats: list[dict[int, tuple[int, int]]] = [{}, {}]
@@ -190,12 +207,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> UrlModel:
         stats[row.side][row.bucket] = row.b, row.n
     seen = sum(n for _, n in stats[0].values())
     prior = sum(b for b, _ in stats[0].values()) / seen if seen else 0.0
-    share = min(1.0, sample / seen) if seen else 1.0
-    chosen = labelled.where(F.pmod(F.xxhash64("url", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample) if share < 1 else labelled
-    rows = chosen.select("url", "host", "path", F.col("blocked").cast("int").alias("y")).toArrow()
+    # equal URLs are one example, combined before the shuffle; the order does not depend on the partitioning
+    urls = labelled.groupBy("url", "host", "path").agg(F.max(F.col("blocked").cast("int")).alias("y"), F.count("*").alias("n"))
+    rows = urls.orderBy(F.xxhash64("url", F.lit(17)), "url").limit(sample).toArrow()
     empty = UrlModel(BoostedTrees(), stats[0], stats[1], prior)
     features = empty.features(rows["url"].to_pylist(), rows["host"].to_pylist(), rows["path"].to_pylist())
-    return empty._replace(trees=BoostedTrees().fit(features, np.array(rows["y"].to_pylist(), float)))
+    return empty._replace(trees=BoostedTrees().fit(features, np.array(rows["y"].to_pylist(), float), np.array(rows["n"].to_pylist(), float)))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", sample: int = SAMPLE) -> DataFrame:
