@@ -1,14 +1,17 @@
 """Removal of repeated passages by overlapping three-line windows, DataFrame functions only.
 
-Every three consecutive lines of a document form a window; its hash is taken over the
-trimmed lines. A window that occurs again, in the same or in another document, is kept
-where it stands first (smallest document id, then text hash, then position). All lines
-that a later occurrence covers go. What is removed therefore always still stands
-somewhere: five equal lines in a row keep the first.
+Every three consecutive lines of a document form a window; its digest of 128 bits is taken
+over the trimmed lines, so that even 10^12 different windows share one with a chance below
+10^-14. A window that occurs again, in the same or in another document, is kept where it
+stands first (smallest document id, then text digest, then position). All lines that a
+later occurrence covers go. What is removed therefore always still stands somewhere: five
+equal lines in a row keep the first.
 
 Documents of fewer than three lines have no window and stay as they are, as do
-windows of blank lines. Null texts stay null. Rows with equal ids and texts are one
-document: all keep or lose the same lines. Other columns pass through.
+windows of blank lines. Null texts stay null. Very long texts are split into lines within
+their row; what is moved and sorted is a row of fixed size for each window. Rows with equal
+ids and texts are one document: all keep or lose the same lines. Other columns pass
+through, whatever they are called; ``n_removed`` replaces an input column of that name.
 """
 
 from __future__ import annotations
@@ -21,21 +24,32 @@ from ..shared import materialise
 LINES = 3
 
 
+def _digest(*values: Column) -> Column:
+    """Two 64-bit hashes with different seeds."""
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(7), *values).alias("b"))
+
+
 def _windows(lines: str, size: int) -> Column:
-    """An array with the hash of each window of a column of lines, null for blank ones."""
+    """An array with the digest of each window of a column of (digest, blank) lines, null for blank ones."""
     count = F.size(lines) - (size - 1)
     shifted = F.arrays_zip(*[F.slice(lines, k + 1, count).alias(f"l{k}") for k in range(size)])
 
     def window(part: Column) -> Column:
-        texts = [part[f"l{k}"] for k in range(size)]
-        return F.when(F.length(F.concat(*texts)) > 0, F.xxhash64(F.concat_ws("\n", *texts)))
+        held = [part[f"l{k}"] for k in range(size)]
+        blank = held[0]["blank"]
+        for line in held[1:]:
+            blank = blank & line["blank"]
+        return F.when(~blank, _digest(*[line["digest"][half] for line in held for half in "ab"]))
 
     return F.when(count > 0, F.transform(shifted, window))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LINES) -> DataFrame:
     """Per document with repeated windows: doc_id, text_hash, and the covered line numbers from 0."""
-    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("raw")).withColumn("lines", F.transform("raw", lambda x: F.trim(x))).drop("raw")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), _digest(F.col(text)).alias("text_hash"), F.split(text, "\n", -1).alias("raw"))
+    keyed = keyed.withColumn("trimmed", F.transform("raw", lambda x: F.trim(x))).drop("raw")
+    # columns of their own: inside one expression the inner one would be computed for every line
+    keyed = keyed.withColumn("lines", F.transform("trimmed", lambda x: F.struct(_digest(x).alias("digest"), (F.length(x) == 0).alias("blank")))).drop("trimmed")
     places = materialise(keyed.select("doc_id", "text_hash", F.posexplode(_windows("lines", size)).alias("at", "window")).where("window is not null"), "windows")
     place = F.struct("doc_id", "text_hash", "at")
     # one row per window that stands in two places; combined before the shuffle
@@ -49,12 +63,16 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = LINES) -> DataFrame:
     """``docs`` with the later occurrences cut from ``text``, and n_removed, the number of lines cut."""
-    covered = repeated_lines(docs, doc_id, text, size).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("covered").alias("_covered"))
-    joined = docs.join(covered, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
+    covered = repeated_lines(docs, doc_id, text, size).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("covered"))
+    # the caller's columns travel inside one, so that their names meet none of these
+    rest = [c for c in docs.columns if c != text]
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"), F.col(f"`{doc_id}`").alias("own"), F.col(f"`{text}`").alias("text"))
+    joined = packed.join(covered, F.col("own").eqNullSafe(F.col("id")) & (_digest(F.col("text")) == F.col("hash")), "left")
     # a column of its own: inside the function below it would be split again for every line
-    joined = joined.withColumn("_lines", F.when(F.col("_covered").isNotNull(), F.split(text, "\n", -1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_covered"))
-    rest = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
-    return (joined.withColumn("n_removed", F.coalesce(F.size("_covered"), F.lit(0)).cast("long"))
-            .withColumn(text, F.when(F.col("_covered").isNull(), F.col(text)).otherwise(rest))
-            .drop("_id", "_hash", "_covered", "_lines"))
+    joined = joined.withColumn("lines", F.when(F.col("covered").isNotNull(), F.split("text", "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
+    left = F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n")
+    left = F.when(F.col("covered").isNull(), F.col("text")).otherwise(left)
+    out = {c: left.alias(c) if c == text else F.col(f"row.c{rest.index(c)}").alias(c) for c in docs.columns}
+    removed = F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed")
+    return joined.select(*[removed if c == "n_removed" else v for c, v in out.items()], *([] if "n_removed" in out else [removed]))
