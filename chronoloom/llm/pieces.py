@@ -68,8 +68,15 @@ def splitter(pattern: str):
     return split
 
 
-def bound_batches(spark, rows: int = 1000, size: str = "8m") -> None:
-    """Hold the session's Arrow batches to sizes that a Python worker can take apart."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def bound_batches(spark, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Hold the session's Arrow batches to sizes that a Python worker can take apart.
+
+    The settings are read when a plan is run, long after an operator has returned, so they
+    stay with the session. They are only ever lowered: an unlimited one gets the bound, a
+    smaller one of the caller's stays.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        set_to = spark.conf.get(name)
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_to)
+        if not 0 < held <= most:
+            spark.conf.set(name, str(most))
