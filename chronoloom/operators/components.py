@@ -39,3 +39,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             forget(old)
         labels, pairs, left = new, moved, moved
     return labels
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, times: str, share: float = 0.001) -> DataFrame:
+    """``rows`` left join ``table`` on ``key``, of which ``table`` holds one row each.
+
+    ``times`` is the column of ``table`` that counts the rows with the key, and is dropped.
+    Keys with at least ``share`` of all rows, so 1 / ``share`` of them at most, are
+    broadcast; the rows of the others are shuffled, so no key brings more than that share of
+    the rows into one task.
+    """
+    table = materialise(table, "keyed")
+    total = table.agg(F.sum(times).alias("n")).first().n or 0
+    hot = table.where(F.col(times) >= max(1.0, share * total)).drop(times)  # 1 / share rows at most
+    rest = table.where(F.col(times) < max(1.0, share * total)).drop(times)
+    of_hot = rows.join(F.broadcast(hot), key)
+    return rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left").unionByName(of_hot)
