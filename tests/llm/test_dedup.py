@@ -49,15 +49,18 @@ def words(rng, n):
 
 
 def near_classes(texts):
-    shingler = nd.Shingler()
-    found = {i: np.frombuffer(shingler(t)[1], np.uint32) for i, t in texts.items()}
-    df, n = Counter(), 0
-    for e in found.values():
-        if len(e):
-            n += 1
-            df.update(set((e & 0xFFFF).tolist()))
-    weight = lambda elements: sum(1 + math.log1p(math.log(n / df[x & 0xFFFF])) for x in elements)
-    sets = {i: set(e.tolist()) for i, e in found.items()}
+    """Classes by the weighted Jaccard similarity of multisets of word tuples, in plain Python."""
+    bags = {}
+    for i, t in texts.items():
+        found = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        bags[i] = Counter(tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))) if found else Counter()
+    df, n = Counter(s for bag in bags.values() for s in bag), sum(map(bool, bags.values()))
+    idf = {s: 1 + math.log(n / max(x, 0.01 * n, 1)) for s, x in df.items()}
+
+    def similar(a, b):
+        both, either = bags[a] & bags[b], bags[a] | bags[b]
+        return sum(idf[s] * x for s, x in both.items()) >= 0.8 * sum(idf[s] * x for s, x in either.items()) - 1e-9
+
     root = {i: i for i in texts}
 
     def find(x):
@@ -67,7 +70,7 @@ def near_classes(texts):
 
     for a in texts:
         for b in texts:
-            if a < b and sets[a] and sets[b] and weight(sets[a] & sets[b]) >= 0.8 * weight(sets[a] | sets[b]) - 1e-9:
+            if a < b and bags[a] and bags[b] and similar(a, b):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in texts}
@@ -116,13 +119,29 @@ def test_near_dedup_edges(spark):
 
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
-    weights = rng.uniform(0.5, 6, nd.BUCKETS)
-    sampler = nd.WeightedSampler(weights, 512)
     shared, one, two = (np.unique(rng.integers(0, 2**32, n, dtype=np.uint32)) for n in (300, 60, 60))
-    a, b = np.sort(np.concatenate((shared, one))), np.sort(np.concatenate((shared, two)))
-    w = lambda x: weights[x & 0xFFFF].sum()
-    true = w(shared) / (w(shared) + w(one) + w(two))
-    assert abs((sampler.signature(a) == sampler.signature(b)).mean() - true) < 0.08
+    known = np.concatenate((shared[::2], one[::3], two[::3]))
+    weigh = nd.Weights(known, rng.uniform(0.5, 6, len(known)), 4.0)
+    sampler = nd.WeightedSampler(weigh, 512)
+    # some shingles occur again, in both documents or in one
+    a, b = np.sort(np.concatenate((shared, shared[:40], one))), np.sort(np.concatenate((shared, shared[20:40], two)))
+    each = {x: float(weigh(np.array([x], np.uint32))[0]) for x in {*a.tolist(), *b.tolist()}}
+    w = lambda bag: sum(each[x] * n for x, n in bag.items())
+    x, y = Counter(a.tolist()), Counter(b.tolist())
+    assert abs((sampler.signature(a) == sampler.signature(b)).mean() - w(x & y) / w(x | y)) < 0.08
+
+
+def test_weights_are_exact_document_frequencies(spark, monkeypatch):
+    """Whatever shares a counter of the first pass, and however rows are dealt."""
+    monkeypatch.setattr(nd, "BUCKETS", 8)
+    rng = np.random.default_rng(8)
+    docs = [np.sort(rng.integers(0, 4000, int(rng.integers(1, 60)), dtype=np.uint32)) for _ in range(400)] + [np.full(9, 7, np.uint32)] * 30
+    rows = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "elements binary")
+    df = Counter(x for d in docs for x in set(d.tolist()))
+    got = nd.inverse_frequencies(rows.repartition(5), 0.02)
+    every = np.arange(4000, dtype=np.uint32)
+    want = [1 + math.log(len(docs) / max(df[x], 0.02 * len(docs))) for x in every.tolist()]
+    assert np.allclose(got(every), want) and len(got.shingles) - 1 == sum(n >= 0.02 * len(docs) for n in df.values())
 
 
 def brute_links(rows, least=0.9):
