@@ -2,7 +2,7 @@
 
 Each table hashes a vector to the signs of its products with random planes; vectors that
 share a code in some table are compared by their exact cosine in double precision. A pair
-is counted in the first table that joins it, so no list of pairs is ever made: a task
+is compared and counted in the first table that joins it, so no list of pairs is ever made: a task
 returns, for each vector of its bucket, how many it links with, and a forest of links.
 Buckets are compared in blocks of bounded size, all blocks against all.
 
@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, join_hot
 from ..shared import materialise
 from .pieces import bound_batches
 
@@ -80,15 +80,21 @@ def _links(grouped, threshold: float):
             x = np.array([table["vector"][int(i)].as_py() for i in rows], np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             ask = np.flatnonzero(asks[rows])
-            other = np.flatnonzero(~asks[rows]) if (~asks[rows]).any() else ask
-            near = x[ask] @ x[other].T >= threshold
+            within = not (~asks[rows]).any()
+            other = ask if within else np.flatnonzero(~asks[rows])
+            # pairs that an earlier table joins were compared there
+            fresh = np.ones((len(ask), len(other)), bool)
+            for earlier in range(number[0]):
+                fresh &= codes[rows[ask], earlier][:, None] != codes[rows[other], earlier]
+                if not fresh.any():
+                    break
+            ask, fresh = ask[fresh.any(axis=1)], fresh[fresh.any(axis=1)]
+            near = (x[ask] @ x[other].T >= threshold) & fresh
             for q in np.flatnonzero(near.any(axis=1)):
                 a = rows[ask[q]]
                 found = rows[other[near[q]]]
                 found = found[rid[found] != rid[a]]
-                # seen before if an earlier table joins them too
-                found = found[(codes[found] == codes[a]).argmax(axis=1) == number[0]]
-                if other is ask:
+                if within:
                     count[a] += times[found].sum()
                 else:
                     count[a] += times[found].sum()
@@ -148,9 +154,10 @@ def link_embeddings(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     counts = found.where("dst is null").groupBy("rid").agg(F.sum("n").alias("n"))
     named = distinct.drop("vector").join(counts, "rid", "left").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = materialise(named, "named")
-    best = named.groupBy("component").agg(F.min(F.struct(F.isnull("vec_id").alias("n"), "vec_id")).alias("f"))
-    classes = materialise(named.join(best, "component").select("same", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("f.vec_id").alias("component_id")), "classes")
-    out = rows.select("vec_id", "same").join(classes, "same", "left")
+    best = named.groupBy("component").agg(F.min(F.struct(F.isnull("vec_id").alias("n"), "vec_id")).alias("f"), F.count("*").alias("members"))
+    classes = join_hot(named, best, "component", "members")
+    classes = classes.select("same", "times", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("f.vec_id").alias("component_id"))
+    out = join_hot(rows.select("vec_id", "same"), classes, "same", "times")
     alone = F.col("n_links").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
