@@ -1,11 +1,13 @@
 """Texts made to break an operator: very long, without spaces, full of beginnings that never end; clashing column names."""
 
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import decontaminate as dc
+from chronoloom.llm import language_id as li
 from chronoloom.llm import line_dedup as ld
 from chronoloom.llm import queries
 from chronoloom.llm import secret_scan as ss
@@ -110,3 +112,51 @@ def test_one_and_four_indexes_agree_to_the_last_digit(spark):
     size = sum(len(t or "") for _, t in items)
     one, four = leaks_of(spark, docs, items), leaks_of(spark, docs, items, index_chars=size // 4 + 1)
     assert one == four and [x[0] for x in one[100]] == [None, 3, 3] and not one[101] and sum(map(len, one.values())) > 120
+
+
+def brute_language(text, samples):
+    """Bits per character by searching the samples themselves for each longest match."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    if not letters or not samples:
+        return "und", 0.0
+    padded, rates = f" {' '.join(letters)} ", []
+    for name, sample in samples.items():
+        at = bits = 0
+        while at < len(padded):
+            n = 0
+            while at + n < len(padded) and padded[at : at + n + 1] in sample:
+                n += 1
+            bits += math.log2(max(2, len(sample))) + 4.0 + (0 if n else math.log2(0x110000))
+            at += max(1, n)
+        rates.append((bits / len(padded), name))
+    rates.sort()
+    return rates[0][1], rates[1][0] / (rates[1][0] + rates[0][0]) if len(rates) > 1 else 1.0
+
+
+@pytest.mark.parametrize("languages", [None, 1, 2])
+def test_languages_and_scores_against_brute_force(spark, languages):
+    """Whole texts, over word borders; the same in one block of languages as in several."""
+    rows = [(r.doc_id, r.text, r.lang, 1) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null and length(text) < 3000").orderBy("doc_id").limit(60).collect()]
+    rows += [(2000 + i, t, None, 1) for i, t in enumerate([None, "", "12 ... ²", "x", "ǆ ß ﬁ", "nó t", "alpha " * 300])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, found int")
+    labels = sorted({r[2] for r in rows if r[2]})
+    part = {"sample_docs": 5, "doc_chars": 300, "lang_chars": 900}
+    known = li.training_rows(frame)
+    samples = li.training_texts(known, {x: known.where(known.lang == x).count() for x in labels}, **part)
+    assert sorted(samples) == labels and all(len(x) <= 901 for x in samples.values())
+    out = li.predict_languages(frame, languages=languages, **part)
+    assert out.columns == ["doc_id", "text", "lang", "found", "held_out", "lang_pred", "score", "phrase_rate"]
+    for r in out.collect():
+        if r.text and "́" in r.text:
+            continue  # marks are letters' parts for the operator only
+        name, score = brute_language(r.text, samples)
+        assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-12), r.text
+        assert r.found == 1
+
+
+def test_languages_of_long_texts_and_clashing_names(spark):
+    rows = [(i, t, g, 1, 2, 3) for i, (t, g) in enumerate([("the cat and the dog " * 50, "en"), ("der hund und die katze " * 50, "de")] * 4)]
+    rows += [(100, "the cat and the dog " * 50_000, None, 1, 2, 3), (101, "dieunddiekatzeundderhund" * 40_000, None, 1, 2, 3), (102, " ".join(f"und{i}" for i in range(100_000)), None, 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang int, row int, doc int")
+    got = {r.doc_id: r for r in li.predict_languages(frame).collect()}
+    assert [got[i].lang_pred for i in (100, 101, 102)] == ["en", "de", "de"] and (got[100]._lang, got[100].row, got[100].doc) == (1, 2, 3)
