@@ -2,10 +2,18 @@
 
 A page is archived as a request, a response (or a revisit of an equal payload) and a
 metadata record; the request and the metadata name the response in WARC-Concurrent-To.
-Spark's own text writer puts the bytes of the records into gzipped files of bounded
-length, so archives can lie in any store that Spark writes to, and a lost task's file is
-written anew. Reading parses each file's records and joins those of a transaction
-through their concurrent-to identifiers into one nested row per capture.
+Spark's own text writer puts the bytes of the records into gzipped files of about
+FILE_BYTES, so archives can lie in any store that Spark writes to, and a lost task's file is
+written anew. Spark's text reader streams archives, split where the next record's version
+line may begin, and a parser on each file's stream takes records by their length: archives
+of any size are read, plain or gzipped (as a whole or by record, known by the name's end),
+with memory for one record. The records of a transaction are joined through their
+concurrent-to identifiers into one nested row per capture.
+
+A record without a valid length, type or identifier is skipped, and one that its file cuts
+short; the reader goes on with the next one that starts after it. A length that is too large
+takes the records that it covers with it. A plain archive of several splits whose payload
+holds a whole record of its own may show that one if a split starts within the payload.
 
 A null payload is the empty payload; a null url gives records without a target. Of
 records with equal payloads the one with the smallest page id is the response (all rows
@@ -25,10 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, StringType
 
-from ..shared import materialise, new_path
+from ..shared import forget, materialise, new_path
+from .pieces import bound_batches
 
-#: Captures in one archive file at most.
-CAPTURES_A_FILE = 4096
+#: Bytes of payload in one archive file, on the average, and captures at most.
+FILE_BYTES, CAPTURES_A_FILE = 64 << 20, 4096
+#: What a record starts with; the text reader takes archives apart there.
+START = b"WARC/1."
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,7 +106,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, page_id: s
     blob = capture_records("row", "page_id", "url", "payload", "digest", "origin")
     # every record ends in a line feed: the writer's line end is the last byte of each row
     lines = known.select(blob.alias("b")).select(F.expr("cast(substring(b, 1, octet_length(b) - 1) as string)").alias("value"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_A_FILE).text(path)
+    mean = rows.agg(F.avg(F.octet_length("payload")).alias("n")).first().n or 0
+    captures = max(1, min(CAPTURES_A_FILE, FILE_BYTES // (int(mean) + 1024)))
+    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
 
 
 def _fields(head: bytes) -> list[tuple[str, str]]:
@@ -103,18 +116,41 @@ def _fields(head: bytes) -> list[tuple[str, str]]:
     return [(k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines) if _]
 
 
+class RecordStream:
+    """The records of one archive from its bytes, taken apart at START."""
+
+    def __init__(self):
+        self.pieces: list[bytes] = []
+        self.fields, self.begin, self.missing = [], 0, 0
+
+    def feed(self, piece: bytes):
+        """(fields, block) of the record that this piece completes, or None."""
+        if self.pieces:
+            self.pieces += [START, piece]
+            self.missing -= len(START) + len(piece)
+        else:
+            stop = piece.find(b"\r\n\r\n")
+            fields = _fields(piece[piece.find(b"\r\n") + 2 : stop]) if stop > 0 and piece[1:3] == b"\r\n" else []
+            named = {k.lower(): v for k, v in fields}
+            size = named.get("content-length", "")
+            if not (size.isascii() and size.isdigit() and named.get("warc-type") and named.get("warc-record-id")):
+                return None  # not a record: what comes next starts anew
+            self.pieces, self.fields, self.begin, self.missing = [piece], fields, stop + 4, stop + 4 + int(size) - len(piece)
+        if self.missing > 0:
+            return None  # the block holds START itself
+        data = self.pieces[0] if len(self.pieces) == 1 else b"".join(self.pieces)
+        block = data[self.begin : len(data) + self.missing]
+        self.pieces = []
+        return self.fields, block
+
+
 def parse_archive(data: bytes):
     """(fields, block) of each record of an archive, compressed as a whole, by record, or not at all."""
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
-            return
-        fields = _fields(data[data.find(b"\r\n", at) + 2 : stop])
-        size = int(dict((k.lower(), v) for k, v in fields).get("content-length", 0))
-        yield fields, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+    stream = RecordStream()
+    for piece in data.split(START):
+        if found := stream.feed(piece):
+            yield found
 
 
 def _bare(name: str | None) -> str | None:
@@ -123,14 +159,19 @@ def _bare(name: str | None) -> str | None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of all archives under ``path``, with the parsed HTTP payload."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    bound_batches(spark)
+    pieces = spark.read.option("lineSep", START.decode()).option("recursiveFileLookup", "true").text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
     schema = pa.schema([("file", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("target", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("content_type", pa.string()), ("status", pa.int32()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
 
     def parse(batches):
+        file, stream, rows, held = None, RecordStream(), [], 0
         for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"]):
-                rows, held = [], 0
-                for fields, block in parse_archive(content.as_py()):
+            for name, piece in zip(batch["file"].to_pylist(), batch["piece"]):
+                if name != file:
+                    file, stream = name, RecordStream()
+                if found := stream.feed(piece.as_py()):
+                    fields, block = found
                     named = {k.lower(): v for k, v in fields}
                     http, body, status = {}, block, None
                     if named.get("content-type", "").startswith("application/http"):
@@ -140,7 +181,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         word = first.split(b" ")[1:2]
                         status = int(word[0]) if first.startswith(b"HTTP/") and word and word[0].isdigit() else None
                     revisit = named.get("warc-type") == "revisit"
-                    length = int(http["content-length"]) if revisit and "content-length" in http else len(body)
+                    length = int(http["content-length"]) if revisit and http.get("content-length", "").isdecimal() else len(body)
                     about = dict(_fields(block)) if named.get("content-type") == "application/warc-fields" else {}
                     rows.append({
                         "file": name, "record_id": _bare(named.get("warc-record-id")), "type": named.get("warc-type"), "target": named.get("warc-target-uri"),
@@ -149,13 +190,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         "headers": list(named.items()), "content_type": named.get("content-type"), "status": status, "payload_bytes": length, "payload": None if revisit else body, "fields": list(about.items()),
                     })
                     held += len(block)
-                    if held > 8 << 20:
+                    if held > 8 << 20 or len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(parse, RECORD)
+    return pieces.mapInArrow(parse, RECORD)
 
 
 def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
@@ -192,4 +233,9 @@ def archive_and_read(pages: DataFrame, least_bytes: int = 0, payloads: bool = Tr
     """Write ``pages`` to new archives in the shared folder and return their captures."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, least_bytes, **names)
-    return assemble(read_records(pages.sparkSession, path), payloads)
+    records = read_records(pages.sparkSession, path)
+    captures = assemble(records, payloads)
+    if not payloads:  # parsed once, and read no more
+        records._written_to = path
+        forget(records)
+    return captures

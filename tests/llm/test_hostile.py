@@ -1,5 +1,6 @@
 """Texts made to break an operator: very long, without spaces, full of beginnings that never end; clashing column names."""
 
+import gzip
 import math
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm import decontaminate as dc
 from chronoloom.llm import language_id as li
 from chronoloom.llm import line_dedup as ld
-from chronoloom.llm import queries
+from chronoloom.llm import queries, warc
 from chronoloom.llm import secret_scan as ss
 from chronoloom.llm import url_filter as uf
 
@@ -160,3 +161,35 @@ def test_languages_of_long_texts_and_clashing_names(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang int, row int, doc int")
     got = {r.doc_id: r for r in li.predict_languages(frame).collect()}
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["en", "de", "de"] and (got[100]._lang, got[100].row, got[100].doc) == (1, 2, 3)
+
+
+def test_archives_with_broken_records(spark, tmp_path):
+    """Bad lengths, no lengths, records within payloads, a cut end: what is whole is read, in every layout."""
+    body = b"HTTP/1.1 200 OK\r\n\r\n"
+    one = lambda name, block=body + b"x": warc.record("response", name, "http://a", "application/http; msgtype=response", block)
+    inner = one("urn:inner")
+    good = [one("urn:1"), one("urn:2", body + inner + b"WARC/1." * 50_000), one("urn:3"), one("urn:4", b""), one("urn:5", body + b"y" * MB)]
+    bad = [one("urn:b1").replace(b"Content-Length: 20", b"Content-Length: twenty"), one("urn:b2").replace(b"Content-Length: 20\r\n", b""), one("urn:b3").replace(b"Content-Length: 20", b"Content-Length: -1"), b"noise WARC/1.1 noise\r\n\r\n", one("urn:b4").replace(b"WARC-Record-ID", b"X")]
+    whole = b"".join(x for pair in zip(good, bad) for x in pair) + one("urn:cut", body + b"z" * 99)[:-60]
+    parts = [x for pair in zip(good, bad) for x in pair]
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "c.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    want = ["urn:1", "urn:2", "urn:3", "urn:4", "urn:5"]
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
+        mine = [r for r in rows if r.file.endswith(name)]
+        assert [r.record_id for r in mine] == want
+        assert [len(r.payload) for r in mine] == [1, len(inner) + 350_000, 1, 0, MB]
+    for data in (whole, gzip.compress(whole)):
+        assert [dict(f)["WARC-Record-ID"] for f, _ in warc.parse_archive(data)] == [f"<{x}>" for x in want]
+
+
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"{i}" + "é" * 10_000) for i in range(40)], "page_id long, url string, html string").repartition(1)
+    got = warc.archive_and_read(pages, payloads=False).collect()
+    assert sorted((int(r.page_id), r.response.payload_bytes) for r in got) == [(i, 20_000 + len(str(i))) for i in range(40)]
+    path = warc.new_path(spark, "test")
+    warc.write_archives(pages, path)
+    assert len({r.file for r in warc.read_records(spark, path).select("file").distinct().collect()}) == 10
