@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from chronoloom.shared import materialise
+from chronoloom.shared import forget, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text whose best language needs more phrases per character resembles no language that
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = last = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = materialise(stage(spark, last, sf_dir), name.replace(" ", "_"))
+        if name != STAGES[0][0]:
+            forget(last)
+        last = docs
     return docs
