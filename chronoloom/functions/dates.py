@@ -161,18 +161,23 @@ class SignalGrammar:
         return out
 
 
+#: What a text holds that any production matches: a word for centuries, a period's name, or an era beside a number.
+DATED = r"(?i)eeuw|centur|roman|romein|\b(?:AD|BC)\s*\d|\d\s*(?:CE|BCE|BC|AD|[nv]\.Chr\.)"
 _grammars: dict[int, SignalGrammar] = {}
 
 
 def date_signals(text: Column) -> Column:
-    """An array of signals. Span claims run in order, so this is an Arrow-batched function."""
+    """An array of signals. Span claims run in order, so this is an Arrow-batched function.
+
+    Texts without any word or sign that all productions need do not reach it.
+    """
 
     @F.pandas_udf(ArrayType(SIGNAL))
     def parse(texts: pd.Series) -> pd.Series:
         grammar = _grammars.setdefault(0, SignalGrammar())
         return texts.map(lambda t: [dict(zip(SIGNAL.names, s)) for s in grammar.signals(t)])
 
-    return parse(text)
+    return parse(F.when(text.rlike(DATED), text))
 
 
 def reconcile(vocab_start: Column, vocab_end: Column, signals: Column, confidence: Column) -> Column:

@@ -124,11 +124,26 @@ def monte_carlo_band(records: DataFrame, sims: int, record_id: str = "id") -> Da
     return full.groupBy("bin").agg(F.avg("n").alias("mc_mean"), F.stddev_pop("n").alias("mc_sd"), band.alias("band")).select("bin", "mc_mean", "mc_sd", F.col("band")[0].alias("p5"), F.col("band")[1].alias("p95"))
 
 
+def average_ranks(rows: DataFrame, value: str, out: str, slices: int = 4096) -> DataFrame:
+    """``rows`` with the average rank of a number between 0 and 1, without sorting all rows in one task.
+
+    Equal values are counted first. Different values are ranked within slices of the range, and
+    the rows of all slices below are added: ``slices`` + 1 sums that a window and a broadcast hold.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(F.col(value) * slices))
+    sums = counts.groupBy("_slice").agg(F.sum("_n").alias("_m"))
+    before = sums.select("_slice", (F.sum("_m").over(Window.orderBy("_slice")) - F.col("_m")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_slice").orderBy(value))
+    ranks = counts.withColumn("_upto", upto).join(F.broadcast(before), "_slice")
+    # the mean of the places that equal values take
+    rank = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0
+    return rows.join(ranks.select(F.col(value).alias("_v"), rank.alias(out)), F.col(value) == F.col("_v")).drop("_v")
+
+
 def profile_agreement(one: DataFrame, two: DataFrame, periods: tuple[Period, ...] = PERIODS, site: str = "site_id") -> DataFrame:
     """Pearson, Spearman (average ranks), dominant-period agreement and mean absolute difference.
 
-    Over the proportions of the sites that both sets have; one row. The ranks need a total
-    order, so they run on sites x periods rows, never on records.
+    Over the proportions of the sites that both sets have; one row.
     """
     a, b = long_form(shares(site_weights(one, periods, site), periods), "p_", "x", periods, site), long_form(shares(site_weights(two, periods, site), periods), "p_", "y", periods, site)
     both = a.join(b, [site, "period"]).where("x is not null and y is not null")
@@ -136,8 +151,7 @@ def profile_agreement(one: DataFrame, two: DataFrame, periods: tuple[Period, ...
     place = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])[F.col("period")]
     top = lambda v: F.max_by("period", F.struct(F.col(v), -place))  # noqa: E731  the first of equals
     dominant = both.groupBy(site).agg((top("x") == top("y")).cast("double").alias("same")).agg(F.avg("same").alias("dominant_agreement"), F.count("*").alias("n_sites"))
-    average = lambda v: F.rank().over(Window.orderBy(v)) + (F.count("*").over(Window.partitionBy(v)) - 1) / 2.0
-    ranked = both.withColumn("rx", average("x")).withColumn("ry", average("y"))
+    ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     d2, n = F.sum((F.col("rx") - F.col("ry")) ** 2), F.count("*")
     stats = ranked.agg(F.corr("x", "y").alias("pearson"), (1 - 6 * d2 / (n * (n * n - 1))).alias("spearman"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_abs_diff"))
     return stats.join(F.broadcast(dominant))

@@ -34,50 +34,72 @@ def lookup_first(rows: DataFrame, index: DataFrame, keys: list[Column], value: s
     return rows.withColumn(out, F.coalesce(*found)).drop(*[c for i in range(len(keys)) for c in (f"_k{i}", f"_v{i}")])
 
 
+def lookup_parts(rows: DataFrame, index: DataFrame, parts: str, value: str, out: str) -> DataFrame:
+    """``rows`` with the value of the first of an array of keys that the index knows, and all parts known of each."""
+    different = rows.select(parts).where(F.size(parts) > 0).distinct()
+    side = index.select(F.col("key").alias("_k"), F.col(value).alias("_v"))
+    known = different.select(parts, F.posexplode(parts).alias("_at", "_key")).join(side, F.col("_key") == F.col("_k"))
+    first = known.groupBy(parts).agg(F.min_by("_v", "_at").alias(out))
+    return rows.join(first, parts, "left")
+
+
 def longest_keyword(texts: DataFrame, keywords: DataFrame, key: list[str], text: str = "text", keyword: str = "keyword") -> DataFrame:
     """Per text the longest keyword that starts at a word, whatever follows it; ties by keyword.
 
     Both sides are reduced to lower-cased words. A text gives its distinct runs of as many
-    words as the longest keyword has, and runs and keywords meet on as many first characters
-    as the shortest keyword has (two numbers that are read first). Texts do not travel.
+    words as the longest keyword has. A keyword of several words meets the runs that begin with
+    its whole words but the last; one of a single word meets those that begin with its letters,
+    so nothing but matches meets. Which lengths there are is read first. Texts do not travel.
     """
     word = r"[\p{L}\p{N}]+"
-    wanted = keywords.select(F.col(keyword).alias("keyword"), F.regexp_extract_all(F.lower(keyword), F.lit(word), F.lit(0)).alias("_w")).where("size(_w) > 0").select("keyword", F.array_join("_w", " ").alias("_norm"), F.size("_w").alias("_n"))
-    size = wanted.agg(F.max("_n").alias("words"), F.min(F.length("_norm")).alias("letters")).first()
-    words, letters = size.words or 1, min(size.letters or 1, 8)
+    wanted = keywords.select(F.col(keyword).alias("keyword"), F.regexp_extract_all(F.lower(keyword), F.lit(word), F.lit(0)).alias("_w")).where("size(_w) > 0")
+    wanted = wanted.select("keyword", F.array_join("_w", " ").alias("_norm"), F.size("_w").alias("_n"), F.array_join(F.expr("slice(_w, 1, size(_w) - 1)"), " ").alias("_whole"))
+    shapes = wanted.select(F.when(F.col("_n") > 1, F.col("_n")).alias("n"), F.when(F.col("_n") == 1, F.length("_norm")).alias("letters")).distinct().collect()  # lengths only
+    several, letters = sorted(r.n for r in shapes if r.n), sorted(r.letters for r in shapes if r.letters)
+    words = max([1, *several])
     rows = texts.select(*key, F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)).alias("_w"))
     shifted = F.arrays_zip(*[F.slice("_w", k + 1, F.greatest(F.lit(0), F.size("_w") - k)).alias(f"w{k}") for k in range(words)])
     runs = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(words)])))
-    runs = rows.where("size(_w) > 0").withColumn("_runs", runs).select(*key, F.explode("_runs").alias("_run")).withColumn("_head", F.left("_run", F.lit(letters)))
-    found = runs.join(wanted.withColumn("_head", F.left("_norm", F.lit(letters))), "_head").where(F.startswith("_run", "_norm"))
+    runs = rows.where("size(_w) > 0").withColumn("_runs", runs).select(*key, F.explode("_runs").alias("_run"))
+    meets = [F.concat(F.lit(f"{n} "), F.substring_index("_run", " ", n - 1)) for n in several] + [F.when(F.length("_run") >= n, F.concat(F.lit("1 "), F.left("_run", F.lit(n)))) for n in letters]
+    runs = runs.select(*key, "_run", F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *meets))).alias("_key"))
+    own = F.when(F.col("_n") > 1, F.concat_ws(" ", F.col("_n").cast("string"), "_whole")).otherwise(F.concat(F.lit("1 "), F.col("_norm")))
+    found = runs.join(wanted.select("keyword", "_norm", own.alias("_key")), "_key").where(F.startswith("_run", "_norm"))
     return found.groupBy(*key).agg(F.max(F.struct(F.length("keyword").alias("n"), F.lower("keyword").alias("k"))).alias("_b")).select(*key, F.col("_b.k").alias("keyword"))
 
 
-def verified_quotes(quotes: DataFrame, reports: DataFrame, quote_id: str, report_id: str, quote: str = "text", text: str = "text", prefix: int = 40, widths: tuple[int, ...] = (8, 16)) -> DataFrame:
-    """(quote_id, report_id) where the normalised quote, or its first characters, stands in the report.
+def _holding(asked: DataFrame, held: DataFrame, on: list[str], ids: list[str], holders: list[str], widths: tuple[int, ...]) -> DataFrame:
+    """(on, ids, holders, _head, _t) where a short text ``_head`` stands in a long one ``_t`` with equal ``on`` columns.
 
-    Both sides are reduced to letters and digits. A report is cut into blocks of a width;
-    2 * width - 1 characters that stand in it cover a whole block, wherever they start, so a
-    quote's beginning asks for its first ``width`` runs of that width, and only pairs that meet
-    are compared. Beginnings too short for the smallest width are looked up whole among
-    the report's runs of their lengths (numbers below 2 * width - 1 that are read first).
+    A long text is cut into blocks of a width; 2 * width - 1 characters that stand in it cover
+    a whole block, wherever they start, so a short text asks for its first ``width`` runs of
+    that width, and only pairs that meet are compared. Texts too short for the smallest width
+    are looked up whole among the long text's runs of their lengths (numbers below
+    2 * width - 1 that are read first).
     """
-    asked = quotes.select(F.col(quote_id), F.left(tx.only_alnum(F.col(quote)), F.lit(prefix)).alias("_head")).where("_head <> ''")
-    size = F.length("_head")
-    least = 2 * min(widths) - 1
+    size, least = F.length("_head"), 2 * min(widths) - 1
     short = sorted(r.n for r in asked.where(size < least).select(size.alias("n")).distinct().collect())
     runs = lambda w: F.array(*[F.substring("_head", k + 1, w) for k in range(w)])
     own = F.when(size < least, F.array("_head"))
     for w in sorted(widths, reverse=True):
         own = own.when(size >= 2 * w - 1, runs(w))
-    asked = asked.select(quote_id, "_head", F.explode(own).alias("_key"))
-    held = reports.select(F.col(report_id), tx.only_alnum(F.col(text)).alias("_t"))
+    asked = asked.select(*on, *ids, "_head", F.explode(own).alias("_key"))
     # cut by expressions that read the text once each: no function looks up a place in it
-    cut = lambda w, k: F.regexp_extract_all(F.substring("_t", k + 1, 2**31 - 1), F.lit(f".{{{w}}}"), F.lit(0))
+    cut = lambda w, k: F.regexp_extract_all(F.substring("_t", k + 1, 2**31 - 1), F.lit(f"(?s).{{{w}}}"), F.lit(0))
     keys = F.array_distinct(F.concat(*[cut(w, 0) for w in widths], *[cut(n, k) for n in short for k in range(n)]))
-    pairs = held.where("_t <> ''").select(report_id, F.explode(keys).alias("_key")).join(asked, "_key")
-    pairs = pairs.select(report_id, quote_id, "_head").distinct()
-    return pairs.join(held.select(report_id, "_t"), report_id).where(F.contains("_t", "_head")).select(quote_id, report_id)
+    pairs = held.where("_t <> ''").select(*on, *holders, F.explode(keys).alias("_key")).join(asked, [*on, "_key"])
+    pairs = pairs.select(*on, *holders, *ids, "_head").distinct()
+    return pairs.join(held.select(*on, *holders, "_t"), [*on, *holders]).where(F.contains("_t", "_head"))
+
+
+def verified_quotes(quotes: DataFrame, reports: DataFrame, quote_id: str, report_id: str, quote: str = "text", text: str = "text", prefix: int = 40, widths: tuple[int, ...] = (8, 16)) -> DataFrame:
+    """(quote_id, report_id) where the normalised quote, or its first characters, stands in the report.
+
+    Both sides are reduced to letters and digits and meet on runs of them.
+    """
+    asked = quotes.select(F.col(quote_id), F.left(tx.only_alnum(F.col(quote)), F.lit(prefix)).alias("_head")).where("_head <> ''")
+    held = reports.select(F.col(report_id), tx.only_alnum(F.col(text)).alias("_t"))
+    return _holding(asked, held, [], [quote_id], [report_id], widths).select(quote_id, report_id)
 
 
 def nearest_pairs(left: DataFrame, right: DataFrame, group: list[str], most: int = 120) -> DataFrame:
@@ -111,8 +133,11 @@ def keyed_union(one: DataFrame, two: DataFrame, key: str, better: list[Column])
 
 def unique_owner(quotes: DataFrame, blocks: DataFrame, quote_id: str, report: str, quote: str, block: str, owner: str, prefix: int = 60) -> DataFrame:
     """(quote_id, owner) where exactly one block of the report holds the quote; else its first characters decide."""
-    pairs = quotes.select(F.col(quote_id), F.col(report), F.col(quote).alias("_q")).join(blocks.select(F.col(report), F.col(block).alias("_b"), F.col(owner)), report)
-    pairs = pairs.withColumns({"_whole": F.contains("_b", "_q"), "_head": F.contains("_b", F.left("_q", F.lit(prefix)))})
+    # a block that holds the quote holds its first characters too; they meet on runs of characters
+    asked = quotes.where(F.length(quote) > 0).select(F.col(report), F.col(quote_id), F.col(quote).alias("_q"), F.left(F.col(quote), F.lit(prefix)).alias("_head"))
+    held = blocks.groupBy(report, owner, block).agg(F.count("*").alias("_times")).select(F.col(report), F.col(owner), F.xxhash64(block).alias("_no"), F.col(block).alias("_t"), "_times")
+    pairs = _holding(asked, held, [report], [quote_id, "_q"], [owner, "_no", "_times"], (8, 16))
+    pairs = pairs.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).withColumns({"_whole": F.contains("_t", "_q"), "_head": F.lit(True)})
     agg = pairs.groupBy(quote_id).agg(*[f(c).alias(f"{n}{c}") for c in ("_whole", "_head") for n, f in (("n", F.count_if), ("o", lambda c: F.max(F.when(F.col(c), F.col(owner)))))])
     whole, head = F.col("n_whole"), F.col("n_head")
     return agg.withColumn(owner, F.when(whole == 1, F.col("o_whole")).when((whole == 0) & (head == 1), F.col("o_head"))).where(F.col(owner).isNotNull()).select(quote_id, owner)

@@ -12,7 +12,7 @@ from .catalogue import Tables, query
 REACH = "r(x, y) AS (SELECT x, x FROM (SELECT x FROM l UNION SELECT y FROM l) UNION SELECT r.x, u.y FROM r JOIN (SELECT x, y FROM l UNION ALL SELECT y, x FROM l) u ON r.y = u.x), c AS (SELECT x AS node, min(y) AS root FROM r GROUP BY x)"
 
 
-@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, list_distinct(list_filter(list_transform(string_split(lower(p_name), ' '), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END), lambda w: length(w) >= 3)) AS t FROM part WHERE p_size % 25 = 1),
+@query(f"""WITH RECURSIVE n AS (SELECT DISTINCT p_name AS name, list_distinct(list_filter(list_transform(string_split(lower(p_name), ' '), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END), lambda w: length(w) >= 3)) AS t FROM part),
 l AS (SELECT a.name AS x, b.name AS y FROM n a JOIN n b ON a.name < b.name AND len(list_intersect(a.t, b.t)) > 0 AND (len(list_intersect(a.t, b.t)) = len(a.t) OR len(list_intersect(a.t, b.t)) = len(b.t) OR len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.6)),
 {REACH} SELECT name, coalesce(root, name) AS component FROM n LEFT JOIN c ON name = node""")
 def site_components(t: Tables) -> DataFrame:
@@ -26,7 +26,7 @@ def site_canonical_names(t: Tables) -> DataFrame:
     return nm.canonical_names(t.part.select(F.col("p_name").alias("name")), least=0.6)
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS x, (o_orderkey % 997) + 100000 AS y FROM orders WHERE o_orderkey % 9 = 0), {REACH} SELECT node AS code, root FROM c""")
+@query(f"""WITH RECURSIVE l AS (SELECT DISTINCT o_custkey AS x, (o_orderkey % 997) + 100000 AS y FROM orders), {REACH} SELECT node AS code, root FROM c""")
 def synonym_components(t: Tables) -> DataFrame:
     pairs = t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 100000).alias("b"))
     return nm.synonym_groups(pairs, "a", "b")
