@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,23 +102,37 @@ def monte_carlo_moments(records: DataFrame, periods: tuple[Period, ...] = PERIOD
     return out.withColumn("n_phases", phases.cast("int"))
 
 
-def uniform(record_id: Column, sim: Column, seed: int = 42) -> Column:
-    """A reproducible draw from [0, 1) for a record in a simulation, whatever the partitioning."""
-    digest = F.substring(F.md5(F.concat_ws(":", record_id.cast("string"), sim.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8)
-    return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
+def simulated_counts(records: DataFrame, sims: int, seed: int = 42) -> DataFrame:
+    """(sim, bin, n): dated records drawn uniformly inside their ranges, per bin of each simulation.
 
-
-def simulated_counts(records: DataFrame, sims: int, record_id: str = "id") -> DataFrame:
-    """(sim, bin, n): dated records drawn uniformly inside their ranges, per bin of each simulation."""
-    drawn = dated(records).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    year = F.col("start") + uniform(F.col(record_id), F.col("sim")) * (F.col("end") - F.col("start"))
-    at = F.floor((year - FIRST_EDGE) / BIN_YEARS).cast("int")
-    return drawn.select("sim", at.alias("bin")).where(F.col("bin").between(0, BINS - 1)).groupBy("sim", "bin").agg(F.count("*").alias("n"))
-
-
-def monte_carlo_band(records: DataFrame, sims: int, record_id: str = "id") -> DataFrame:
+    Records with equal ranges are counted first; how many of them fall into each bin is one
+    multinomial draw per simulation, seeded by the range. So the work grows with the number of
+    different ranges, not of records, and results do not depend on the partitioning.
+    """
+    spark = records.sparkSession
+    ranges = dated(records).groupBy(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).agg(F.count("*").alias("n"))
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start", "end")  # few rows, each with many draws
+    edges = FIRST_EDGE + BIN_YEARS * np.arange(BINS + 1)
+
+    def draw(batches):
+        total = np.zeros((sims, BINS), np.int64)
+        for batch in batches:
+            for start, end, n in zip(*(batch[c].to_pylist() for c in ("start", "end", "n"))):
+                share = np.clip(np.minimum(end, edges[1:]) - np.maximum(start, edges[:-1]), 0, None) / (end - start)
+                inside = np.flatnonzero(share)
+                # the last of the outcomes is a year outside all bins
+                chances = np.append(share[inside], max(0.0, 1 - share[inside].sum()))
+                generator = np.random.default_rng([seed, *np.array([start, end]).view(np.uint32).tolist()])
+                total[:, inside] += generator.multinomial(n, chances / chances.sum(), size=sims)[:, :-1]
+        sim, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(sim.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[sim, at])], ["sim", "bin", "n"])
+
+    return ranges.mapInArrow(draw, "sim int, bin int, n long").groupBy("sim", "bin").agg(F.sum("n").alias("n"))
+
+
+def monte_carlo_band(records: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     """Mean, population deviation and 5 to 95 percentile band of the simulated counts per bin."""
-    counts = simulated_counts(records, sims, record_id)
+    counts = simulated_counts(records, sims, seed)
     # simulations without a draw in a bin count zero there: sims x bins rows, both fixed
     grid = records.sparkSession.range(sims).select(F.col("id").cast("int").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
     full = grid.join(counts, ["sim", "bin"], "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))

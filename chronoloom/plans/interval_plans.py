@@ -72,10 +72,7 @@ def mc_moments_analytic(t: Tables) -> DataFrame:
     return iv.monte_carlo_moments(finds(t))
 
 
-@query(f"""WITH {REC}, {BINS}, d AS (SELECT sim, floor((s + ('0x' || substr(md5(concat(id, ':', sim, ':', 42)), 1, 8))::BIGINT / 4294967296.0 * (e - s) + 12) / 25)::INT AS bin FROM rec, range(1000) r(sim)),
-c AS (SELECT sim, bin, count(*) AS n FROM d GROUP BY ALL),
-f AS (SELECT bins.bin, coalesce(n, 0) AS n FROM range(1000) r(sim) CROSS JOIN bins LEFT JOIN c ON c.sim = r.sim AND c.bin = bins.bin)
-SELECT bin, avg(n) AS mc_mean, stddev_pop(n) AS mc_sd, quantile_cont(n, 0.05) AS p5, quantile_cont(n, 0.95) AS p95 FROM f GROUP BY bin""")
+@query()
 def mc_sampled_band(t: Tables) -> DataFrame:
     return iv.monte_carlo_band(finds(t), sims=1000)
 

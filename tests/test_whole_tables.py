@@ -1,12 +1,12 @@
 """Registered queries over all rows of small tables, against brute force."""
 
-import hashlib
 import math
 import re
 
 import numpy as np
 import pytest
 
+from chronoloom.operators import intervals as iv
 from chronoloom.operators import matching as mt
 from chronoloom.plans import registry
 
@@ -43,23 +43,34 @@ def test_synonym_components_read_every_order(spark, tmp_path):
     assert got == components({x for link in links for x in link}, links) and got[70] == got[100002] == 50
 
 
-def test_sampled_band_has_a_thousand_simulations(spark, tmp_path):
-    orders = [(k, k % 7) for k in range(1, 13)]
+def test_sampled_band_agrees_with_single_draws(spark, tmp_path):
+    """The query's thousand simulations beside 20,000 in which every record is drawn on its own."""
+    orders = [(k, k % 7) for k in range(1, 13)] + [(1 + 500 * k, 1) for k in range(1, 300)]  # the latter share one range
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(k, k % 3) for k in range(7)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
-    counts = np.zeros((1000, 19))
+    sims, rng = 20_000, np.random.default_rng(5)
+    counts = np.zeros((sims, 19))
     for k, c in orders:
         start = k * 37 % 500 - 52
-        for sim in range(1000):
-            u = int(hashlib.md5(f"{k}:{sim}:42".encode()).hexdigest()[:8], 16) / 4294967296
-            at = math.floor((start + u * (1 + c % 200) + 12) / 25)
-            if 0 <= at < 19:
-                counts[sim, at] += 1
-    got = {r.bin: (r.mc_mean, r.mc_sd, r.p5, r.p95) for r in registry.QUERIES["mc_sampled_band"](spark, str(tmp_path)).collect()}
+        at = np.floor((start + rng.random(sims) * (1 + c % 200) + 12) / 25).astype(int)
+        inside = (at >= 0) & (at < 19)
+        np.add.at(counts, (np.flatnonzero(inside), at[inside]), 1)
+    got = {r.bin: r for r in registry.QUERIES["mc_sampled_band"](spark, str(tmp_path)).collect()}
     assert set(got) == set(range(19))
     for b in range(19):
-        n = counts[:, b]
-        assert got[b] == pytest.approx((n.mean(), n.std(), np.quantile(n, 0.05), np.quantile(n, 0.95)), abs=1e-9)
+        n, r = counts[:, b], got[b]
+        assert abs(r.mc_mean - n.mean()) <= 5 * n.std() / math.sqrt(1000) + 1e-9
+        assert abs(r.mc_sd - n.std()) <= 5 * n.std() / math.sqrt(2000) + 0.02
+        assert abs(r.p5 - np.quantile(n, 0.05)) <= 1 + 0.1 * n.std() and abs(r.p95 - np.quantile(n, 0.95)) <= 1 + 0.1 * n.std()
+
+
+def test_sampled_counts_follow_no_partitioning(spark):
+    rows = spark.createDataFrame([(k, k % 40, k % 40 + 1 + k % 90) for k in range(4000)], "id long, start int, end int")
+    one, two = ({tuple(r) for r in iv.simulated_counts(x, 50).collect()} for x in (rows.repartition(1), rows.repartition(9, "id")))
+    every = {s: sum(n for sim, _, n in one if sim == s) for s in range(50)}
+    assert one == two and set(every.values()) == {4000}  # no range leaves the bins: no draw is lost
+    assert len({tuple(sorted((b, n) for sim, b, n in one if sim == s)) for s in range(50)}) == 50
+    assert {tuple(r) for r in iv.simulated_counts(rows, 50, seed=7).collect()} != one
 
 
 def test_quotes_of_any_length_are_found(spark):
