@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection_plans, interval_plans, name_plans, record_plans, text_plans, vocabulary_plans
+from . import detection_plans, find_plans, interval_plans, name_plans, record_plans, text_plans, vocabulary_plans
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "detection_plans", "interval_plans", "name_plans", "record_plans", "text_plans", "vocabulary_plans"]
+__all__ = ["QUERIES", "SQL", "detection_plans", "find_plans", "interval_plans", "name_plans", "record_plans", "text_plans", "vocabulary_plans"]
