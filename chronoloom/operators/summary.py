@@ -54,7 +54,7 @@ def best_dates(mentions: DataFrame, contexts: list[str], vocabulary: list[tuple[
         century, period = _rung(medium["start"], medium["end"], "text_century"), _rung(named["start"], named["end"], "chron_vocab")
         width = lambda r: F.struct(r["end"] - r["start"], r["start"], r["end"])
         # of equals the one that sorts first: widths, ends, then chron_vocab before text_century
-        own.append(F.when(century.isNull() | (width(period) <= width(century)), period).otherwise(century))
+        own.append(F.when(period.isNull(), century).when(century.isNull() | (width(period) <= width(century)), period).otherwise(century))
     further = [_rung(F.col(f"{c}.start"), F.col(f"{c}.end"), m) for c, m in (("section_date", "section_phase"), ("model_date", "llm_context"), ("assigned_date", "typology"))]
     ladder = F.coalesce(_rung(F.col("vocab_start"), F.col("vocab_end"), "typology"), *explicit, *own, *further)
     read = read.withColumn(out, F.when(~F.col("is_generic"), ladder))
