@@ -7,6 +7,8 @@ they are broadcast is the planner's decision by their size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,21 +235,19 @@ def link_greedily(gold: DataFrame, output: DataFrame, report: str = "report_id",
     return gold.select(columns).groupBy(report).cogroup(output.select(columns).groupBy(report)).applyInPandas(link, f"{report} {kind}, gold_id long, output_id long, tier int")
 
 
-def without_twins(rows: DataFrame, keys: list[str], is_specific: Column) -> DataFrame:
-    """A general row goes if a specific one with the same keys exists."""
-    return rows.withColumn("_any", F.max(is_specific).over(Window.partitionBy(*keys))).where(is_specific | ~F.col("_any")).drop("_any")
+def without_twins(rows: DataFrame, keys: list, is_specific: Column, stays: Column | None = None) -> DataFrame:
+    """A general row goes if a specific one with the same keys exists; rows that ``stays`` holds for do not."""
+    kept = is_specific if stays is None else is_specific | stays
+    return rows.withColumn("_any", F.max(is_specific).over(Window.partitionBy(*keys))).where(kept | ~F.col("_any")).drop("_any")
 
 
 def without_subsumed(rows: DataFrame, group: list[str], name: str, typed: Column, shared: Column) -> DataFrame:
-    """An untyped row goes if its name is part of a typed row's name over the same text."""
-    rows = rows.withColumn("_shared", shared)
-    typed_rows = rows.where(typed).select(*group, "_shared", F.col(name).alias("_typed_name"))
-    inside = F.contains(F.lower("_typed_name"), F.lower(name)) & (F.lower("_typed_name") != F.lower(name))
-    on = [rows[c] == typed_rows[c] for c in [*group, "_shared"]]
-    condition = on[0]
-    for extra in on[1:]:
-        condition = condition & extra
-    return rows.join(typed_rows, condition & inside & ~typed, "left_anti").drop("_shared")
+    """An untyped row goes if its name is, or is part of, a typed row's name over the same text."""
+    own = F.lower(F.coalesce(name, F.lit("")))
+    rows = rows.withColumns({"_shared": F.coalesce(shared, F.lit("")), "_own": own})
+    typed_rows = rows.where(typed).select(*group, "_shared", F.col("_own").alias("_typed_name")).distinct()
+    on = [rows[c].eqNullSafe(typed_rows[c]) for c in group] + [rows["_shared"] == typed_rows["_shared"]]
+    return rows.join(typed_rows, reduce(Column.__and__, on) & F.contains("_typed_name", "_own") & ~typed, "left_anti").drop("_shared", "_own")
 
 
 def overlay(base: DataFrame, overrides: DataFrame, key: str, columns: list[str]) -> DataFrame:

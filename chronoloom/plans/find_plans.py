@@ -52,7 +52,7 @@ def find_records(t: Tables) -> DataFrame:
 
 @query(r"""WITH x AS (SELECT doc_id, [text || ' see 4', text || ' (vgl. x)', 'In total: ' || text, text, text || ' pp. 12', text || ' nieuwe tijd'][doc_id % 6 + 1] AS s FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, regexp_matches(s, '(?i)\b(see|zie|cf|vgl|table|tabel|fig|afb|cat)\b') AS refers, regexp_matches(s, '(?i)\b(summary|samenvatting|conclusion|conclusie|in total|in totaal|overall|overzicht)\b') AS recap,
-  regexp_matches(s, '(?i)\bnieuwe tijd\b|\bpp?\.\s*\d+') AS modern_or_page FROM x""")
+  regexp_matches(s, '(?i)\bnieuwe tijd\b|\bpp\.\s*\d') AS modern_or_page FROM x""")
 def text_markers(t: Tables) -> DataFrame:
     x = F.col("text")
     some = F.array(F.concat(x, F.lit(" see 4")), F.concat(x, F.lit(" (vgl. x)")), F.concat(F.lit("In total: "), x), x, F.concat(x, F.lit(" pp. 12")), F.concat(x, F.lit(" nieuwe tijd")))

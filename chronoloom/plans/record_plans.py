@@ -133,14 +133,15 @@ def context_classifier(t: Tables) -> DataFrame:
 def nested_records(t: Tables) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return rc.nested(t.orders.select(
-        F.when(k % 50 != 0, F.concat(F.lit("record_"), k)).alias("record_id"), F.col("o_orderstatus").alias("report_id"), F.lit("s").alias("site_name"), F.when(k % 9 != 0, "term").alias("term"), F.lit("T").alias("canonical"),
-        F.when(k % 7 == 0, "other").otherwise("present").alias("context_label"), (c % 12 / 10.0).alias("context_confidence"), F.when(k % 3 != 0, k % 100).cast("int").alias("start"), F.when(k % 4 != 0, k % 90 + 5).cast("int").alias("end"),
-        F.lit("m").alias("date_method"), F.lit(0.5).alias("chrono_confidence"), F.lit(1).alias("page"), F.lit("x").alias("sentence"),
+        F.when(k % 50 != 0, F.concat(F.lit("record_"), k)).alias("record_id"), F.col("o_orderstatus").alias("report_id"), F.when(k % 9 != 0, "term").alias("term_canonical"),
+        F.when(k % 7 != 0, "present").alias("context_label"), F.when(c % 12 != 0, c % 12 / 10.0).alias("context_confidence"), F.when(k % 3 != 0, k % 100).cast("int").alias("chrono_start"), F.when(k % 4 != 0, k % 90 + 5).cast("int").alias("chrono_end"),
+        F.element_at(F.array(F.lit("assigned"), F.lit("skipped"), F.lit(None), F.lit("unassigned"), F.lit("")), (k % 5 + 1).cast("int")).alias("chrono_status"), F.when(c % 8 != 0, 0.5).alias("chrono_confidence"), F.when(k % 11 != 0, 1).alias("page"),
     ))
 
 
-@query("""WITH x AS (SELECT o_orderkey AS k, o_orderstatus AS report_id, o_custkey % 12 / 10.0 AS cc FROM orders),
-i AS (SELECT report_id, (k % 50 = 0)::INT + (k % 9 = 0)::INT + (k % 7 = 0)::INT + (cc > 1)::INT + ((k % 3 = 0) <> (k % 4 = 0))::INT + (k % 3 <> 0 AND k % 4 <> 0 AND k % 100 > k % 90 + 5)::INT AS n FROM x)
+@query("""WITH x AS (SELECT o_orderkey AS k, o_orderstatus AS report_id, o_custkey AS c, o_orderkey % 5 IN (0, 4) AS ranged FROM orders),
+i AS (SELECT report_id, (k % 50 = 0)::INT + (k % 9 = 0)::INT + (k % 7 = 0)::INT + (c % 12 = 0)::INT + (k % 5 IN (2, 4))::INT + (ranged AND (k % 3 = 0 OR k % 4 = 0))::INT + (ranged AND k % 3 = 0)::INT + (ranged AND k % 4 = 0)::INT
+  + (c % 12 = 0 AND c % 8 = 0)::INT + (k % 11 = 0)::INT AS n FROM x)
 SELECT report_id, count(*) AS total, count(*) FILTER (n = 0) AS valid, count(*) FILTER (n > 0) AS invalid, sum(n)::BIGINT AS n_issues FROM i GROUP BY report_id""")
 def output_struct_validate(t: Tables) -> DataFrame:
     return rc.validation_summary(rc.validate(nested_records(t)))
@@ -263,11 +264,11 @@ def surplus_bagdiff(t: Tables) -> DataFrame:
 
 @query("""WITH u AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey || '/' || l_partkey % 50 END AS regnum, l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 <> 0 THEN 't' END AS typology, CASE WHEN l_partkey % 4 <> 0 THEN 100 END AS start_date, l_quantity AS certainty,
   l_orderkey * 10 + l_linenumber AS position, (l_linenumber > 3)::INT AS src FROM lineitem),
-n AS (SELECT *, row_number() OVER (PARTITION BY regnum ORDER BY (typology IS NULL), (start_date IS NULL), certainty DESC, position, src) AS rn FROM u WHERE regnum IS NOT NULL)
+n AS (SELECT *, row_number() OVER (PARTITION BY regnum ORDER BY src, CASE WHEN src = 0 THEN typology IS NULL END, CASE WHEN src = 0 THEN start_date IS NULL END, CASE WHEN src = 0 THEN -certainty END, position) AS rn FROM u WHERE regnum IS NOT NULL)
 SELECT regnum, l_orderkey, l_linenumber FROM n WHERE rn = 1 UNION ALL SELECT regnum, l_orderkey, l_linenumber FROM u WHERE regnum IS NULL""")
 def regnum_upsert(t: Tables) -> DataFrame:
     k, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    rows = t.lineitem.select(F.when(k % 10 != 0, F.concat_ws("/", k, p % 50)).alias("regnum"), k, n, F.when(p % 3 != 0, "t").alias("typology"), F.when(p % 4 != 0, 100).alias("start_date"), F.col("l_quantity").alias("certainty"), (k * 10 + n).alias("position"))
+    rows = t.lineitem.select(F.when(k % 10 != 0, F.concat_ws("/", k, p % 50)).alias("regnum"), k, n, F.when(p % 3 != 0, "t").alias("typology"), F.when(p % 4 != 0, 100).alias("start_date"), F.lit(None).cast("int").alias("end_date"), F.col("l_quantity").alias("certainty"), (k * 10 + n).alias("position"))
     return rc.registration_union(rows.where("l_linenumber <= 3"), rows.where("l_linenumber > 3")).select("regnum", "l_orderkey", "l_linenumber")
 
 
@@ -286,7 +287,7 @@ def general_suppress(t: Tables) -> DataFrame:
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey * 10 AS pos, l_linenumber = 1 AS grp, l_quantity FROM lineitem),
 y AS (SELECT *, count(*) FILTER (NOT grp) OVER (PARTITION BY l_suppkey ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 1500 FOLLOWING) AS n FROM x)
-SELECT l_orderkey, l_linenumber FROM y WHERE NOT (grp AND n >= greatest(l_quantity, 1))""")
+SELECT l_orderkey, l_linenumber FROM y WHERE NOT (grp AND l_quantity >= 2 AND n >= l_quantity)""")
 def preview_suppress(t: Tables) -> DataFrame:
     rows = t.lineitem.withColumn("pos", F.col("l_partkey") * 10)
     return rc.preview_groups(rows, ["l_suppkey"], "pos", F.col("l_linenumber") == 1, F.col("l_quantity")).select("l_orderkey", "l_linenumber")
@@ -317,17 +318,37 @@ def section_dominant_date(t: Tables) -> DataFrame:
 
 
 def matched_rows(t: Tables) -> DataFrame:
-    """Order lines in the form of matched finds."""
+    """Order lines in the form of matched finds; some names are catalogue numbers or single words."""
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     start: Column = (k * 37 % 700 - 100).cast("int")
     rows = t.lineitem.join(t.part.select("p_partkey", "p_name", "p_brand"), p == F.col("p_partkey"))
+    name = F.when(k % 7 == 0, F.concat(F.lit("27-3/"), k % 40)).when((k % 7 == 1) & (p % 3 != 0), F.split("p_name", " ")[0]).otherwise(F.col("p_name"))
+    about = F.when(k % 17 == 0, "medieval pit ").when(k % 19 == 0, "pp. 3 ").otherwise("text ")
     return rows.select(
         (F.col("l_suppkey") % 50).cast("string").alias("report_id"), n.alias("chunk_no"), (k % 1000).cast("int").alias("start_char"), F.concat(F.lit("Site "), k % 4).alias("site_name"), (p % 9).cast("int").alias("page"),
-        F.col("p_name").alias("pottery"), F.when(p % 3 == 0, F.col("p_brand")).alias("typology"), (F.col("l_returnflag") == "R").alias("is_generic"), (F.col("l_quantity") > 40).alias("is_tabular"), (F.col("l_discount") > 0.07).alias("has_marker"),
-        F.when(k % 6 != 0, start).alias("start_date"), F.when(n % 4 != 0, start + 120).cast("int").alias("end_date"), F.lit("typology").alias("date_method"), F.concat(F.lit("text "), k % 300).alias("original_text"),
+        name.alias("pottery"), F.when(p % 3 == 0, F.col("p_brand")).alias("typology"), (F.col("l_returnflag") == "R").alias("is_generic"), (F.col("l_quantity") > 40).alias("is_tabular"), (F.col("l_discount") > 0.07).alias("has_marker"),
+        F.when(k % 6 != 0, start).alias("start_date"), F.when(n % 4 != 0, start + 120).cast("int").alias("end_date"), F.lit("typology").alias("date_method"), F.concat(about, k % 300).alias("original_text"),
     )
 
 
+@query("""WITH x AS (SELECT (l_suppkey % 50)::VARCHAR AS report, l_linenumber AS chunk, (l_orderkey % 1000)::INT AS pos, 'Site ' || l_orderkey % 4 AS site, (l_partkey % 9)::INT AS page, p_name AS pottery, CASE WHEN l_partkey % 3 = 0 THEN p_brand END AS typ,
+  l_returnflag = 'R' AS general, l_quantity > 40 AS tab, l_discount > 0.07 AS mark, CASE WHEN l_orderkey % 6 <> 0 THEN (l_orderkey * 37 % 700 - 100)::INT END AS s, CASE WHEN l_linenumber % 4 <> 0 THEN (l_orderkey * 37 % 700 + 20)::INT END AS e,
+  CASE WHEN l_orderkey % 17 = 0 THEN 'medieval pit ' WHEN l_orderkey % 19 = 0 THEN 'pp. 3 ' ELSE 'text ' END || l_orderkey % 300 AS text, l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+p AS (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN '27-3/' || k % 40 WHEN k % 7 = 1 AND typ IS NULL THEN string_split(pottery, ' ')[1] ELSE pottery END AS pottery) FROM x),
+a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY report, lower(pottery), typ, pos ORDER BY chunk, pos, site, page, s NULLS FIRST, e NULLS FIRST, text, general, tab, mark) = 1), b AS (SELECT * FROM a WHERE typ IS NOT NULL OR NOT starts_with(text, 'pp. ')),
+c AS (SELECT * FROM b QUALIFY NOT starts_with(pottery, '27-3/') OR row_number() OVER (PARTITION BY report, starts_with(pottery, '27-3/'), pottery, typ, site, s, e ORDER BY chunk, pos, site, page, s NULLS FIRST, e NULLS FIRST, text, general, tab, mark) = 1),
+d AS (SELECT * FROM c WHERE typ IS NOT NULL OR NOT EXISTS (SELECT 1 FROM c o WHERE o.report = c.report AND o.typ IS NOT NULL AND o.text = c.text AND contains(lower(o.pottery), lower(c.pottery)))),
+f AS (SELECT * FROM d QUALIFY typ IS NOT NULL OR NOT general OR NOT bool_or(typ IS NULL AND NOT general) OVER (PARTITION BY report, lower(pottery), site)),
+g AS (SELECT * FROM f QUALIFY tab OR NOT mark OR NOT bool_or(tab) OVER (PARTITION BY report, page, lower(coalesce(typ, pottery)))),
+h AS (SELECT *, CASE WHEN s IS NULL AND e >= -12 THEN -12 ELSE s END AS s2, CASE WHEN e IS NULL AND s <= 450 THEN 450 ELSE e END AS e2 FROM g)
+SELECT report AS report_id, chunk AS chunk_no, pos AS start_char, pottery, typ AS typology, s2 AS start_date, e2 AS end_date, text AS original_text
+FROM h WHERE (s2 IS NULL AND e2 IS NULL AND NOT starts_with(text, 'medieval')) OR (coalesce(s2, -99999) < 450 AND coalesce(e2, 99999) > -52 AND NOT (s2 IS NULL AND e2 IS NULL))""")
+def summary_rows(t: Tables) -> DataFrame:
+    """The cascade over order lines whose names are also catalogue numbers and single words."""
+    rows = matched_rows(t)
+    return rc.summary_rows(rows).select("report_id", "chunk_no", "start_char", "pottery", "typology", "start_date", "end_date", "original_text")
+
+
 @query()
 def summary_cascade(t: Tables) -> DataFrame:
     return rc.summary_cascade(matched_rows(t))

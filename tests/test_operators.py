@@ -187,10 +187,15 @@ def test_dedup_is_idempotent(spark):
     assert sorted(r.v for r in once.collect()) == sorted(r.v for r in sp.first_by_position(once, ["k"], ["pos"]).collect()) == ["b", "c"]
 
 
-def test_validation_names_what_is_wrong(spark):
-    row = spark.createDataFrame([(None, "r", "s", "", "T", "nonsense", 1.4, 300, 200, "m", 0.5, 1, "x")], "record_id string, report_id string, site_name string, term string, canonical string, context_label string, context_confidence double, start int, end int, date_method string, chrono_confidence double, page int, sentence string")
-    got = rc.validate(rc.nested(row)).first().validation
-    assert not got.valid and got.issues == ["missing record_id", "missing term", "invalid context label", "context confidence out of range", "start after end", "confidence out of range"]
+def test_validation_names_what_is_missing(spark):
+    schema = "record_id string, report_id string, term_raw string, term_canonical string, context_label string, context_confidence double, chrono_start int, chrono_end int, chrono_status string, chrono_confidence double, match_type string, interpretation_method string, page int"
+    rows = [(None, "", "x", "", None, None, 300, None, "assigned", None, "", "llm", None), ("a", "r", "x", "T", "present", 0.123456, None, None, "skipped", None, "regex", None, 1), ("b", "r", "x", "T", "odd", 0.5, None, 9, "", 0.25, None, None, 1)]
+    bad, good, third = rc.validate(rc.nested(spark.createDataFrame(rows, schema))).collect()
+    assert not bad.validation.valid and bad.validation.issues == ["missing: record_id", "missing: report_id", "missing: term.canonical", "missing: context.label", "missing: context.confidence",
+                                                                  "missing: chronology range", "missing: chronology.end", "missing: confidence of context and chronology", "missing: evidence.page"]
+    assert good.validation.valid and good.confidence.composite == 0.0741 and good.metadata.detection_method == "regex" and not good.metadata.fallback_applied
+    assert bad.confidence.composite is None and bad.metadata.fallback_applied and bad.metadata.detection_method == "unknown" and bad.sites[0].site_name is None
+    assert third.validation.issues == ["missing: chronology.status", "missing: chronology range", "missing: chronology.start"] and third.confidence.composite == 0.4
 
 
 def test_overall_rounds_half_to_even(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import periods as pd
 from chronoloom.operators import matching as mt
+from chronoloom.operators import names as nm
 from chronoloom.operators import records as rc
 from chronoloom.operators import summary as sm
 
@@ -68,7 +69,7 @@ def test_cascade_clamps_drops_and_names_sites(spark):
     schema = "report_id string, chunk_no int, start_char int, site_name string, page int, pottery string, typology string, is_generic boolean, is_tabular boolean, has_marker boolean, start_date int, end_date int, date_method string, original_text string, pot_name_certainty_level int, pot_presence_certainty_level int, dates_certainty_level int, overall_certainty_level int"
     rows = [
         ("r", 1, 1, "Heerlen", 1, "jar", None, False, False, False, 101, None, "text_century", "a", 6, 8, 9, 8), ("r", 1, 2, "Heerlen, Tempsplein", 1, "cup", "T 1", False, False, False, 70, 120, "typology", "b", 8, 8, 8, 8),
-        ("r", 1, 3, "Heerlen, Tempsplein", 1, "mug", None, False, False, False, 70, 120, "typology", "see p. 12", 6, 8, 8, 7), ("r", 1, 4, "Voerendaal", 1, "lid", "T 9", False, False, False, 70, 120, "typology", "pp. 3", 8, 8, 8, 8),
+        ("r", 1, 3, "Heerlen, Tempsplein", 1, "mug", None, False, False, False, 70, 120, "typology", "see pp. 12-14", 6, 8, 8, 7), ("r", 1, 4, "Voerendaal", 1, "lid", "T 9", False, False, False, 70, 120, "typology", "pp. 3", 8, 8, 8, 8),
         ("r", 1, 5, "Voerendaal", 1, "pan", None, False, False, False, 500, 600, "text_century", "c", 6, 8, 9, 8),
     ]
     got = {r.pottery: r for r in rc.summary_cascade(spark.createDataFrame(rows, schema)).collect()}
@@ -77,6 +78,31 @@ def test_cascade_clamps_drops_and_names_sites(spark):
     assert {got["jar"].site_name, got["cup"].site_name} == {"Heerlen, Tempsplein"} and got["lid"].site_name == "Voerendaal"
 
 
+def test_cascade_drops_echoes_within_a_report(spark):
+    schema = "report_id string, chunk_no int, start_char int, site_name string, page int, pottery string, typology string, is_generic boolean, is_cell boolean, is_tabular boolean, has_marker boolean, start_date int, end_date int, date_method string, original_text string"
+    row = lambda report, at, name, typ=None, general=False, cell=False, tab=False, mark=False, dates=(1, 99), text=None, site="A", page=1: (report, 1, at, site, page, name, typ, general, cell, tab, mark, *dates, "typology", f"text {at}" if text is None else text)
+    rows = [
+        row("r", 1, "Jar", text="a"), row("r", 1, "jar", text="b"),  # one position
+        row("r", 2, "27-3/5", text="c"), row("r", 3, "27-3/5", text="d"), row("r", 4, "27-3/5", site="B"), row("r", 5, "cup"), row("r", 6, "cup"),  # numbers are unique finds, names are not
+        row("r", 7, "bowl", "T 1", text="same"), row("r", 8, "Bowl", text="same"), row("r", 9, "bowl", text="other"), row("s", 8, "bowl", text="same"),
+        row("r", 10, "pan"), row("r", 11, "Pan", general=True), row("r", 12, "pan", general=True, site="C"), row("r", 13, "pan", general=True, cell=True), row("r", 14, "pan", "T 2", general=True),
+        row("r", 15, "x", "T 3", tab=True, page=2), row("r", 16, "y", "t 3", mark=True, page=2), row("r", 17, "x", "T 3", mark=True, page=3), row("r", 18, "x", "T 3", page=2),
+        row("r", 19, "pot", dates=(None, None), text="medieval"), row("r", 20, "pot", dates=(None, None), text="Roman to medieval"), row("r", 21, "pot", dates=(100, None), text="medieval"),
+        row("r", 22, "lid", text="see p. 4"), row("r", 23, "lid", text="pp. 4"), row("r", 24, "lid", "T 4", text="pp. 4"),
+    ]
+    got = sorted((r.report_id, r.start_char) for r in rc.summary_rows(spark.createDataFrame(rows, schema)).collect())
+    assert got == [("r", k) for k in (1, 2, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, 17, 18, 20, 21, 22, 24)] + [("s", 8)]
+
+
+def test_sites_are_named_within_a_report(spark):
+    rows = [("r", "Heerlen"), ("r", "Heerlen, Tempsplein"), ("s", "Heerlen, Coriovallum"), ("t", "Stein"), ("t", "Stein, kasteel"), ("u", "Stein, kasteel")]
+    frame = spark.createDataFrame(rows, "report string, site string")
+    assert {(r.report, r.name): r.canonical for r in nm.canonical_names(frame, "site", "report").collect()} == {
+        ("r", "Heerlen"): "Heerlen, Tempsplein", ("r", "Heerlen, Tempsplein"): "Heerlen, Tempsplein", ("s", "Heerlen, Coriovallum"): "Heerlen, Coriovallum",
+        ("t", "Stein"): "Stein, kasteel", ("t", "Stein, kasteel"): "Stein, kasteel", ("u", "Stein, kasteel"): "Stein, kasteel"}
+    assert {(r.report, r.collapsed) for r in nm.collapse_compounds(frame, "site", "report").collect()} == {("r", "Heerlen"), ("s", "Heerlen, Coriovallum"), ("t", "Stein"), ("u", "Stein, kasteel")}
+
+
 def test_named_periods(spark):
     vocabulary = [("Romeinse tijd", -12, 450), ("Volle Middeleeuwen", 1000, 1250), ("Claudische tijd", 41, 54), ("Middeleeuwen", 450, 1500)]
     cases = {"uit de Romeinse tijd t/m Volle Middeleeuwen": (-12, 1250), "CLAUDISCH of Claudisch tijdvak": None, "een Claudische tijdvak in de Romeinse tijd": (41, 54), "Middeleeuwen tot Romeinse tijd": (-12, 450), "": None, None: None, "Romeinse tijden": None}
