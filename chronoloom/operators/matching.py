@@ -125,10 +125,10 @@ def surplus(rule: DataFrame, model: DataFrame, keys: list[str], order: list[str]
     return rows.join(counts, keys, "left").where(F.col("_rn") <= F.col("_n") - F.coalesce("_m", F.lit(0))).drop("_rn", "_n", "_m")
 
 
-def keyed_union(one: DataFrame, two: DataFrame, key: str, better: list[Column]) -> DataFrame:
+def keyed_union(one: DataFrame, two: DataFrame, key: str, better: list[Column], group: tuple[str, ...] = ()) -> DataFrame:
     """Upsert: of rows with equal keys the best stays, of equals the one from ``one``; null keys all pass."""
     both = one.withColumn("_src", F.lit(0)).unionByName(two.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*better, "_src"))
+    first = F.row_number().over(Window.partitionBy(*group, key).orderBy(*better, "_src"))
     named = both.where(F.col(key).isNotNull()).withColumn("_n", first).where("_n = 1").drop("_n")
     return named.unionByName(both.where(F.col(key).isNull())).drop("_src")
 

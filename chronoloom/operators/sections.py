@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .spans import matches_of
 
 CHUNK, OVERLAP = 1200, 150
 
@@ -160,12 +161,40 @@ def quote_context(text: Column, quote: Column, width: int = 240, prefix: int = 6
     return F.when(at.isNotNull(), F.substring(text, low, at + F.length(quote) + width - low))
 
 
-def category_block(text: Column, label: Column) -> Column:
-    """The text before the first capital label, and the block under the own label."""
-    intro = F.regexp_extract(text, r"(?s)^(.*?)(?:\n[A-Z]{4,}[A-Z ]*:|$)", 1)
-    blocks = F.regexp_extract_all(text, F.lit(r"(?s)\n([A-Z]{4,}[A-Z ]*:.*?)(?=\n[A-Z]{4,}[A-Z ]*:|$)"), F.lit(1))
-    own = F.get(F.filter(blocks, lambda b: F.startswith(b, F.concat(label, F.lit(":")))), 0)
-    return F.concat_ws("\n", F.nullif(intro, F.lit("")), own)
+#: A line that begins with a word of capitals and a colon or point, and one that is a site's code.
+CATEGORY = r"(?md)^[ \t]*[A-ZÀ-Þ]{4,}(?:[ \t]+[A-ZÀ-Þ]{2,})*\s*[:.]"
+SITE_CODE = r"(?md)^[ \t]*\d{6}[ \t]*$"
+
+
+def slice_of(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, (start + 1).cast("int"), F.greatest(F.lit(0), end - start).cast("int"))
+
+
+def category_block(text: Column, at: Column, labels: Column | None = None) -> Column:
+    """The text before the first category label, and the block of the label that governs a place.
+
+    ``labels`` are the label's spans, where they are known. The whole text if it has none.
+    """
+    starts = F.transform(F.coalesce(matches_of(text, CATEGORY) if labels is None else labels, F.array()), lambda m: m["start"])
+    first, own = F.get(starts, 0), F.coalesce(F.array_max(F.filter(starts, lambda s: s <= at)), F.lit(0))
+    end = F.coalesce(F.array_min(F.filter(starts, lambda s: s > own)), F.length(text))
+    block = slice_of(text, own, end)
+    return F.when(first.isNull(), text).when(own == 0, block).otherwise(F.concat(slice_of(text, F.lit(0), first), F.lit("\n"), block))
+
+
+def sentences_around(text: Column, start: Column, end: Column, before: int, after: int, bounds: Column | None = None, least: int = 0) -> Column:
+    """A span with so many sentence ends before and after it; ``least`` characters from ``start`` on if there are as many."""
+    ends = F.coalesce(matches_of(text, SENTENCE_END) if bounds is None else bounds, F.array())
+    earlier, later = F.filter(ends, lambda m: m["end"] <= start), F.filter(ends, lambda m: m["start"] >= end)
+    low = F.coalesce(F.get(earlier, F.size(earlier) - before)["end"], F.lit(0)) if before else start
+    high = F.greatest(F.coalesce(F.get(later, F.lit(after - 1))["start"] + 1, F.length(text)), F.least(start + least, F.length(text)))
+    return F.btrim(slice_of(text, low, high), F.lit(" \n\t\r"))
+
+
+def site_code_before(text: Column, at: Column, codes: Column | None = None) -> Column:
+    """The last line that is a site's code and begins at or above a place."""
+    above = F.filter(F.coalesce(matches_of(text, SITE_CODE) if codes is None else codes, F.array()), lambda m: m["start"] <= at)
+    return F.trim(F.btrim(F.get(above, F.size(above) - 1)["term"], F.lit(" \t")))
 
 
 def site_focus(text: Column, caption: str = r"(?i)^(?:fig|afb|plate|tabel|table)\b", head: int = 1500, most: int = 3000) -> Column:

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sections import is_table_cell, sentence_or_line
+from .sections import CATEGORY, SENTENCE_END, SITE_CODE, category_block, clause_after, is_table_cell, page_at, sentence_or_line, sentences_around, site_code_before
 from .spans import alternation, first_by_position, matches_of, not_covered
 
 
@@ -86,15 +86,42 @@ def settled(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def with_contexts(found: DataFrame, text: str, site_at: Column) -> DataFrame:
+    """``found`` with the contexts of ``mentions``; needs the columns that it has read by then."""
+    begin = F.col("start") - F.col("_begin")
+    # a sentence's own point lies behind it and its own beginning counts as the first end before it
+    near = sentences_around(F.col(text), begin, begin + F.length("_s") + 1, 2, 2, F.col("_bounds"))
+    line = F.trim("context_line")
+    short = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) <= 12
+    contexts = {
+        "clause_date_context": F.trim(clause_after(F.substring(F.col("_s"), F.col("_begin") + 1, F.length("_s")))),
+        "line_date_context": F.when((F.length(line) <= 60) & (short("_prev") | short("_next")), line).otherwise(""),
+        "date_context": F.when(F.col("is_full_section"), category_block(F.col(text), F.col("start"), F.col("_labels"))).otherwise(near) if "is_full_section" in found.columns else near,
+        "forward_date_context": sentences_around(F.col(text), F.col("start"), F.col("start"), 0, 4, F.col("_bounds"), 650),
+        "site_code": F.coalesce(site_code_before(F.lit(""), site_at, F.col("_codes")), F.lit("")),
+    }
+    if "page_breaks" in found.columns:
+        contexts["page"] = page_at(F.col("page_breaks"), begin)
+    return found.withColumns(contexts)
+
+
 def mentions(chunks: DataFrame, lexicon: Lexicon, known: DataFrame | None = None, keys: tuple[str, ...] = ("report_id", "section_no"), text: str = "chunk_text") -> DataFrame:
     """Named mentions outside the spans of ``known``, once per place in the section.
 
     ``chunks`` has the keys, chunk_no, text_offset_start and the text. Adds start, end, term,
-    name, sentence and context_line. A vessel made of a ware claims the ware behind it.
+    name, sentence and context_line. A vessel made of a ware claims the ware behind it. Then
+    the contexts in which a mention's date and site are looked for: clause_date_context (up to
+    the next comma or point), line_date_context (the own cell of a table), date_context (the own
+    category of an entry, if chunks have is_full_section and it is true, else with one sentence
+    before and two after), forward_date_context (four sentences on, 650 characters at least), site_code
+    (the inventory code above, in section_text if there is one), and page by page_breaks.
     """
     group = [*keys, "chunk_no"]
     words = alternation(list(lexicon.triggers), lexicon.tail + "?")
-    found = chunks.select("*", F.inline(matches_of(F.col(text), words)))
+    whole = F.col("section_text") if "section_text" in chunks.columns else F.col(text)
+    # read off a chunk once, not once for every mention
+    places = {"_bounds": matches_of(F.col(text), SENTENCE_END), "_labels": matches_of(F.col(text), CATEGORY), "_codes": matches_of(whole, SITE_CODE)}
+    found = chunks.where(F.rlike(F.col(text), F.lit(words))).withColumns(places).select("*", F.inline(matches_of(F.col(text), words)))
     if known is not None:
         found = not_covered(found, known, group)
     head, rest = F.left(F.col(text), F.col("start")), F.substring(F.col(text), F.col("start") + 1, F.length(text))
@@ -117,5 +144,6 @@ def mentions(chunks: DataFrame, lexicon: Lexicon, known: DataFrame | None = None
     near = F.substring(F.col(text), F.greatest(F.lit(1), F.col("start") - 39), F.lit(80))
     named = named.where(F.col("name").isNotNull() & ~is_header_cell(F.col("name"), F.col("_prev"), F.col("_next"), lexicon) & ~is_column_fill(F.col("name"), near, lexicon))
     named = named.withColumn("abs_start", F.col("text_offset_start") + F.col("start"))
+    named = with_contexts(named, text, F.col("abs_start") if "section_text" in chunks.columns else F.col("start"))
     named = first_by_position(named, [*keys, "abs_start"], ["chunk_no"])
     return named.drop(*[c for c in named.columns if c.startswith("_")])

@@ -1,5 +1,7 @@
 """Operators on small frames: edge cases, properties, and the figures of published examples."""
 
+import json
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as some
@@ -260,6 +262,35 @@ def test_site_chain(spark):
     assert got[0] == got[1] == ("r", "Heerlen")
 
 
+def test_hybrid_cascade(spark):
+    page = ("Opgraving te Heel, Drag. 37 bakje en drie potten. Een pot, nog een kruik, een pot. Zie -27/3/5 en een kom cf. Stuart 9 uit de Midden tijd. Dolium, middeleeuws. "
+            "Amphora Drag. 99/Stuart 9 en een urn.")
+    pages = spark.createDataFrame([("r", 1, page), ("c", 1, "Veldprospectie\n123456\nDe beker stond hier.\n654321\nEen deksel en een urn.\n777777\nOok een urn."), ("e", 1, "Title\nFig. 1 Stein")], "report_id string, page_number int, text string")
+    finds = [dict(pottery="Small dish", typology="Drag. 37", term_found="bakje", quote="Drag. 37 bakje", certainty=8, presence=9, site_name="Heel"), dict(pottery="Pots", term_found="drie potten", quote="drie potten.", certainty=8, specific=False, quantity=3, site_name="Heel"),
+             dict(pottery="Pot", term_found="pot", quote="Een pot, nog", certainty=7, site_name="Heel"), dict(pottery="Jug", term_found="kruik", quote="een kruik, een", certainty=7, site_name="Heel"), dict(pottery="Pot", term_found="pot", quote="een pot. Zie", certainty=7, site_name="Heel, dorp"),
+             dict(pottery="Bowl", typology="cf. Stuart 9", quote="kom cf. Stuart 9", certainty=9, site_name="Heel"), dict(pottery="Vat", quote="uit de Midden tijd", site_name="Heel", quantity=0), dict(pottery="Dolium, medieval", quote="Dolium, middeleeuws"),
+             dict(pottery="Amphora", typology="Drag. 99/Stuart 9", quote="Amphora Drag. 99"), dict(pottery="Ghost", quote="never said"), dict(pottery=" ", quote="Opgraving te Heel")]
+    beakers = [dict(pottery="Beaker", quote="De beker stond hier.", start_date=50, site_name="Elsewhere"), dict(pottery="Urn", quote="een urn"), dict(pottery="Late", quote="Een deksel", start_date=600, end_date=700)]
+    model = ad.StubModel({hybrid.CONFIRM + "Lid": '{"present": true, "confidence": 0.84}', hybrid.CONFIRM: '{"present": true, "confidence": 0.5}', hybrid.SITE: 'It is {"site": "Stein"}', "Opgraving": json.dumps({"finds": finds}), "Veld": json.dumps(beakers),
+                          "Title": json.dumps([dict(pottery="Fibula pot", quote="Title", certainty=3)])}, default="[]")
+    index = spark.createDataFrame([("DRAGENDORFF_37", "Dragendorff 37", 60, 260, "Dish"), ("STUART_9", "Stuart 9", 100, 150, None)], "key string, code string, date_start int, date_end int, name string")
+    rules = [("r", 1, "Jug", None, "x", "present"), ("r", 2, "Jug", None, "y", "present"), ("c", 3, "Lid", "Stuart 9", "Een deksel", "present"), ("c", 4, "Lid", None, "z", "absent"), ("r", 5, "Cup", None, "nr -27/3/5", "present"), ("r", 6, "Cup", "T", "nr 27/3/5", None)]
+    rules = spark.createDataFrame([(a, b, "", c, d, None, None, e, f) for a, b, c, d, e, f in rules], "report_id string, position int, site_name string, pottery string, typology string, start_date int, end_date int, original_text string, context_label string")
+    rows = hybrid.hybrid_cascade(pages, rules, index, model, gazetteer=[(["Midden tijd"], 10, 90)]).collect()
+    got = {(r.report_id, r.pottery, r.original_text): r for r in rows}
+    assert len(rows) == len(got) and {(r, p) for r, p, _ in got} == {("r", p) for p in ("Dish", "Pot", "Jug", "Bowl", "Vat", "Amphora", "Cup")} | {("c", "Beaker"), ("c", "Urn"), ("c", "Lid"), ("e", "Fibula pot")}
+    one = lambda name: next(r for r in rows if r.pottery == name)
+    levels = lambda r: (r.pot_name_certainty_level, r.pot_presence_certainty_level, r.dates_certainty_level, r.overall_certainty_level)
+    assert (one("Dish").typology, one("Dish").start_date, one("Dish").date_method, levels(one("Dish"))) == ("Dragendorff 37", 60, "model+typology", (8, 9, 8, 8))
+    assert (one("Bowl").typology, one("Bowl").end_date, levels(one("Bowl"))) == ("Stuart 9 cf.", 150, (4, None, 4, 4))
+    assert (one("Amphora").typology, one("Amphora").start_date) == ("Dragendorff. 99/Stuart 9", 100)
+    assert (one("Vat").start_date, one("Vat").date_method, one("Vat").dates_certainty_level, one("Vat").quantity, one("Vat").pot_name_certainty_level) == (10, "period_term", 8, None, None)
+    assert (one("Beaker").end_date, one("Beaker").date_method, one("Beaker").dates_certainty_level, one("Beaker").site_name) == (450, "context_clamp", 3, "123456")
+    assert (one("Lid").typology, one("Lid").date_method, levels(one("Lid")), one("Lid").site_name) == ("Stuart 9", "rules+model_confirmed", (8, 8, 8, 8), "654321")
+    assert (one("Cup").original_text, one("Cup").date_method, levels(one("Cup"))) == ("nr -27/3/5", "rules+model", (6, 7, 0, 4))
+    assert one("Fibula pot").site_name == "Stein" and {r.site_name for r in rows if r.report_id == "r"} == {"Heel"} and one("Urn").site_name == "Elsewhere"
+
+
 def test_stream_of_new_files(spark, tmp_path):
     schema = "report_id string, page_number int, text string"
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))

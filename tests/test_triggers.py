@@ -30,6 +30,19 @@ def test_mentions(spark, text, want):
     assert [n for _, n in names(spark, text)] == want
 
 
+def test_contexts_of_mentions(spark):
+    text = "508067\nIntro of it.\nMUNTEN: een munt van 54. Van Nero.\nAARDEWERK: Er lag aardewerk uit de 2e eeuw, en verder. One here. Two here. Three here. Four here. Five here.\nGLAS. Scherven."
+    at = text.index("aardewerk")
+    schema = "report_id string, section_no int, chunk_no int, text_offset_start int, is_full_section boolean, page_breaks array<struct<page:int,offset:int>>, section_text string, chunk_text string"
+    rows = [("r", 1, 0, 0, True, [(3, 0), (4, 30)], text, text), ("r", 2, 0, 9, False, [(3, 0)], "123456\nx\n" + "x" * 20, text[7:]), ("r", 3, 0, 0, False, None, None, "7\naardewerk 2e eeuw\n1"), ("r", 4, 0, 0, None, None, "", "")]
+    one, two, three = tr.mentions(spark.createDataFrame(rows, schema), LEXICON).where("term = 'aardewerk'").orderBy("section_no").collect()
+    assert one.start == at and one.page == 4 and one.site_code == "508067" and one.clause_date_context == "aardewerk uit de 2e eeuw" and one.line_date_context == ""
+    assert one.date_context.startswith("508067\nIntro of it.\n") and "AARDEWERK: Er lag" in one.date_context and "Nero" not in one.date_context and "GLAS" not in one.date_context
+    assert one.forward_date_context == text[at:].strip() and two.site_code == "123456"
+    assert two.date_context.endswith("Two here.") and two.date_context.startswith("MUNTEN")
+    assert (three.line_date_context, three.site_code, three.page) == ("aardewerk 2e eeuw", "", None)
+
+
 def test_windows_count_once_and_known_spans_are_left(spark):
     rows = spark.createDataFrame([("r", 1, 0, 0, "xx aardewerk yy"), ("r", 1, 1, 3, "aardewerk yy")], "report_id string, section_no int, chunk_no int, text_offset_start int, chunk_text string")
     assert tr.mentions(rows, LEXICON).count() == 1
