@@ -46,14 +46,17 @@ def typology_index(combined: DataFrame) -> DataFrame:
     """(key, exactness, …): the whole typology without its region, and each of its equivalents.
 
     Qualifiers after a colon may be left out. A whole typology (0) goes before an equivalent (1).
+    Entries are in the order of ``position``, or of their codes where there is none.
     """
     base = F.split("typology", ",")[0]
     variants = lambda c: F.array(c, F.split(c, ":")[0])
-    rows = combined.where(F.coalesce("typology", F.lit("")) != "").withColumn("position", F.monotonically_increasing_id())
+    rows = combined.where(F.coalesce("typology", F.lit("")) != "")
+    rows = rows if "position" in rows.columns else rows.withColumn("position", F.col("code"))
     whole = rows.select("*", F.explode(variants(base)).alias("_k"), F.lit(0).alias("exactness"))
     parts = rows.where(F.size(F.split(base, "/")) > 1).select("*", F.explode(F.flatten(F.transform(F.split(base, "/"), lambda p: variants(p)))).alias("_k"), F.lit(1).alias("exactness"))
     keyed = whole.unionByName(parts).withColumn("key", tx.spaced_alnum(F.col("_k"))).where("key <> ''").drop("_k")
-    return keyed.groupBy("key", "code").agg(F.min("exactness").alias("exactness"), F.min("position").alias("position"), *[F.first(c).alias(c) for c in ("label", "ware_label", "form_code", "typology")])
+    best = F.min(F.struct("exactness", "position", "label", "ware_label", "form_code", "typology")).alias("_b")
+    return keyed.groupBy("key", "code").agg(best).select("key", "code", "_b.*")
 
 
 def _matched(finds: DataFrame, text: Column, words: DataFrame, out: str) -> DataFrame:
@@ -70,7 +73,8 @@ def resolve(finds: DataFrame, wares: DataFrame, forms: DataFrame, combined: Data
        the name, else the one whose region the text names, else the only one.
     2. Otherwise ware and form from the master list, then from keywords, where the name
        outweighs the quote unless the quote refines it; then the combined term of both.
-    A quote that several finds of a report share is not evidence for any of them.
+    A quote that several finds of a report share is not evidence for any of them. Of several
+    entries under one key of a list the one that sorts first counts.
     """
     shared = F.count("*").over(Window.partitionBy("report_id", "context")) if "report_id" in finds.columns else F.count("*").over(Window.partitionBy("context"))
     finds = finds.withColumn("_trusted", shared == 1).withColumn("_full", F.concat_ws(" ", "name", "context"))
@@ -96,8 +100,8 @@ def resolve(finds: DataFrame, wares: DataFrame, forms: DataFrame, combined: Data
     term = F.coalesce("_plain", F.when(F.col("_n_region") == 1, F.col("_region")), F.when(F.col("_n") == 1, F.col("_only")))
     rows = finds.join(chosen.select("find_id", term.alias("term")), "find_id", "left")
 
-    listed = master.select(F.lower(F.trim("typology")).alias("_mt"), F.lower("ware").alias("_mw"), F.lower("form").alias("_mf")).dropDuplicates(["_mt"])
-    by_alias = lambda v, out: v.select(F.explode(F.split(F.coalesce("aliases", F.lit("")), r"\|")).alias("_a"), F.struct("code", "label").alias(out)).select(F.lower(F.trim("_a")).alias(f"_{out}_key"), out).where(f"_{out}_key <> ''").dropDuplicates([f"_{out}_key"])
+    listed = master.select(F.lower(F.trim("typology")).alias("_mt"), F.lower("ware").alias("_mw"), F.lower("form").alias("_mf")).groupBy("_mt").agg(F.min(F.struct("_mw", "_mf")).alias("_m")).select("_mt", "_m.*")
+    by_alias = lambda v, out: v.select(F.explode(F.split(F.coalesce("aliases", F.lit("")), r"\|")).alias("_a"), F.struct("code", "label").alias(out)).select(F.lower(F.trim("_a")).alias(f"_{out}_key"), out).where(f"_{out}_key <> ''").groupBy(f"_{out}_key").agg(F.min(out).alias(out))
     by_code = lambda v, out: v.select(F.col("code").alias(f"_{out}_key"), F.struct("code", "label").alias(out))
     rows = rows.join(listed, F.lower(F.trim("typology")) == F.col("_mt"), "left")
     for vocabulary, key_column, out, how in ((wares, "_mw", "master_ware", by_alias), (forms, "_mf", "master_form", by_alias), (wares, "term.ware_code", "term_ware", by_code), (forms, "term.form_code", "term_form", by_code)):
@@ -113,7 +117,7 @@ def resolve(finds: DataFrame, wares: DataFrame, forms: DataFrame, combined: Data
     form = F.coalesce(F.col("master_form"), guarded("name_form", "any_form"))
     unsafe = F.coalesce(form["code"].isin(*NAME_ONLY_FORMS) & (F.coalesce(F.col("name_form.code"), F.lit("")) != form["code"]), F.lit(False))
     rows = rows.withColumns({"ware": ware, "form": F.when(has_term, F.col("term_form")).otherwise(F.when(~unsafe, form))})
-    pair = combined.where("coalesce(typology, '') = '' and not contains(ware_label, ',')").select(tx.spaced_alnum(F.col("ware_label")).alias("_pw"), F.col("form_code").alias("_pf"), F.struct("code", "label").alias("pair")).dropDuplicates(["_pw", "_pf"])
+    pair = combined.where("coalesce(typology, '') = '' and not contains(ware_label, ',')").select(tx.spaced_alnum(F.col("ware_label")).alias("_pw"), F.col("form_code").alias("_pf"), F.struct("code", "label").alias("pair")).groupBy("_pw", "_pf").agg(F.min("pair").alias("pair"))
     rows = rows.join(pair, (tx.spaced_alnum(F.split("ware.label", ",")[0]) == F.col("_pw")) & (F.col("form.code") == F.col("_pf")) & ~has_term, "left")
     code, label = F.coalesce("term.code", "pair.code"), F.coalesce("term.label", "pair.label")
     any_code = F.coalesce("ware.code", "form.code", code)

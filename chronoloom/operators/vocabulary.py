@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.predicates import is_named_ware, is_safe_code
 from .names import first_ancestor
 
 
@@ -28,11 +29,12 @@ def longest_first(parts: Column) -> Column:
     return F.transform(F.array_sort(F.transform(F.array_distinct(parts), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda s: s["p"])
 
 
-def pattern_rows(vocabulary: DataFrame, named: Column, code: str = "code") -> DataFrame:
-    """One pattern per row: its forms and abbreviations as codes, its names (where ``named``) as words.
+def pattern_rows(vocabulary: DataFrame, named: Column | None = None, code: str = "code") -> DataFrame:
+    """One pattern per row with a safe code: its forms and abbreviations as codes, its names (where ``named``; by default specific names of wares) as words.
 
     ``vocabulary`` has the code, all_forms and abbreviations (``|``-separated), name, date_start, date_end.
     """
+    vocabulary, named = vocabulary.where(is_safe_code(F.col(code))), is_named_ware(F.col("name")) if named is None else named
     split = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     codes = F.transform(F.array_union(F.array_union(F.array(F.trim(code)), split("all_forms")), split("abbreviations")), code_regex)
     names = F.when(named, F.array(name_regex(F.col("name")))).otherwise(F.array().cast("array<string>"))
@@ -83,6 +85,37 @@ def merged_codes(rows: DataFrame, code: str = "code") -> DataFrame:
     return rows.groupBy(code).agg(F.min("date_start").alias("date_start"), F.max("date_end").alias("date_end"), F.min_by("name", "position").alias("name"))
 
 
+#: Hedges and words before a typology, and names of series that make an unknown value a gap of the list.
+QUALIFIER = r"(?iu)\b(?:cf\.?|vgl\.?|sim\.?|var\.?|type|typ|proche\s+de|aehnlich|ähnlich)\b|-?achtig\b"
+TYPE_SERIES = r"(?i)\b(?:alzey|holwerda|niederbieber|nb|dragendorff|drag|trier|mayen|stuart|brunsting|gose|chenet|hofheim|hbw|bw|fg)\b"
+
+
+def review_typologies(gold: DataFrame, master: DataFrame, typology: str = "typology", code: str = "code") -> DataFrame:
+    """One row per distinct typology of ``gold``: what the ``master`` list makes of it.
+
+    (typology_raw, typology_normalized, stripped_qualifier, resolved_code, master_gap, not_typology,
+    status). ``matched`` has a code of the list, by the code itself before one of its forms or
+    abbreviations (``all_forms``, ``abbreviations``, ``|``-separated; of several codes the first by
+    ``position``); ``master_gap`` looks like a type, by a series' name or a digit; else it is
+    ``not_typology``. Blank typologies have no row.
+    """
+    listed = master.withColumn("_code", F.trim(code)).where("_code <> ''")
+    split = lambda c: F.split(F.coalesce(c, F.lit("")), r"\|")
+    own = listed.select(F.lower("_code").alias("_key"), F.struct(F.lit(0).alias("rank"), (-F.col("position")).alias("at"), F.col("_code").alias("code")).alias("_hit"))
+    forms = listed.select(F.explode(F.concat(split("all_forms"), split("abbreviations"))).alias("_form"), F.struct(F.lit(1).alias("rank"), F.col("position").alias("at"), F.col("_code").alias("code")).alias("_hit"))
+    forms = forms.select(F.lower(F.trim("_form")).alias("_key"), "_hit").where("_key <> ''")
+    index = own.unionByName(forms).groupBy("_key").agg(F.min("_hit").alias("_hit"))
+    rows = gold.select(F.trim(typology).alias("typology_raw")).where("typology_raw <> ''").distinct()
+    found = F.regexp_extract_all("typology_raw", F.lit(QUALIFIER), F.lit(0))
+    clean = F.btrim(F.regexp_replace(F.regexp_replace("typology_raw", QUALIFIER, " "), r"\s+", " "), F.lit(" ,.;"))
+    rows = rows.withColumns({"typology_normalized": clean, "stripped_qualifier": F.array_join(F.transform(found, lambda q: F.trim(q)), " ")})
+    rows = rows.join(index, F.lower("typology_normalized") == F.col("_key"), "left")
+    known, typed = F.col("_hit").isNotNull(), F.col("typology_normalized").rlike(TYPE_SERIES) | F.col("typology_normalized").rlike(r"\d")
+    status = F.when(known, "matched").when(typed, "master_gap").otherwise("not_typology")
+    shown = lambda s: F.when(status == s, F.col("typology_normalized")).otherwise("")
+    return rows.select("typology_raw", "typology_normalized", "stripped_qualifier", F.coalesce("_hit.code", F.lit("")).alias("resolved_code"), shown("master_gap").alias("master_gap"), shown("not_typology").alias("not_typology"), status.alias("status"))
+
+
 # --- maps out of triples (s, p, o)
 
 
