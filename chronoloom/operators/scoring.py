@@ -76,6 +76,31 @@ def verdict_cube(cells: DataFrame, report: str = "report_id") -> DataFrame:
     return rolled.withColumn(report, F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col(report).cast("string"))).drop("_g")
 
 
+def detection_totals(linked: DataFrame, report: str = "report_id") -> DataFrame:
+    """A row per report and a TOTAL row: gold records, matched, missed and extra ones, recall, and matched pairs that agree.
+
+    ``linked`` as in ``verdict_cells``. Recall without gold records is 1. Names agree if they are
+    equal, similar or of one family; other fields if they are equal or both missing; ranges if
+    they meet, an undated gold record with anything.
+    """
+    g, p = F.col("gold"), F.col("output")
+    text = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    name = (tx.only_alnum(g["pot"]) != "") & pottery_verdict(g["pot"], p["pot"], g["toks"], p["toks"], g["family"], p["family"]).isin("exact", "acceptable")
+    family = F.coalesce((g["family"] == p["family"]) & (g["family"] != ""), F.lit(False))
+    low, high = F.lit(-9999), F.lit(9999)
+    meets = (F.coalesce(p["start"], low) <= F.coalesce(g["end"], high)) & (F.coalesce(g["start"], low) <= F.coalesce(p["end"], high))
+    undated = lambda x: x["start"].isNull() & x["end"].isNull()
+    agree = {
+        "site": text(g["site"]) == text(p["site"]), "pottery": F.coalesce(name, F.lit(False)) | family, "typology": F.coalesce(g["typ"], F.lit("")) == F.coalesce(p["typ"], F.lit("")),
+        "start": g["start"].eqNullSafe(p["start"]), "end": g["end"].eqNullSafe(p["end"]), "overlap": undated(g) | (~undated(p) & meets),
+    }
+    both = g.isNotNull() & p.isNotNull()
+    counts = {"n_gold": g.isNotNull(), "n_matched": both, "n_missed": p.isNull(), "n_extra": g.isNull()} | {f"n_{k}": both & v for k, v in agree.items()}
+    rolled = linked.rollup(report).agg(*[F.count_if(c).alias(k) for k, c in counts.items()], F.grouping(report).alias("_g"))
+    recall = F.coalesce(F.try_divide("n_matched", "n_gold"), F.lit(1.0))
+    return rolled.withColumns({report: F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col(report).cast("string")), "recall": recall}).drop("_g")
+
+
 def accuracy_cube(cells: DataFrame, dimensions: list[str]) -> DataFrame:
     """Values, accepted values and their share for every subset of the dimensions; null means all."""
     accepted = F.count_if(F.col("verdict").isin("exact", "acceptable"))

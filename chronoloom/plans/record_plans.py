@@ -189,6 +189,19 @@ def link_rankjoin(t: Tables) -> DataFrame:
     return linked(t).select("report_id", F.col("gold.id").alias("gold_id"), F.col("output.id").alias("output_id"))
 
 
+@query(f"""WITH {LINK_SQL}, w AS (SELECT *, p.p_type AS gf, q.p_type AS pf FROM j LEFT JOIN part p ON p.p_partkey = gi LEFT JOIN part q ON q.p_partkey = pi),
+y AS (SELECT report_id, gi, pi, gi IS NOT NULL AND pi IS NOT NULL AS b, lower(gsite) = lower(psite) AS sm, gf = pf AS pm, gs = ps AS st, ge IS NOT DISTINCT FROM pe AS en, ps <= coalesce(ge, 9999) AND gs <= coalesce(pe, 9999) AS ov FROM w)
+SELECT coalesce(report_id::VARCHAR, 'TOTAL') AS report_id, count(gi) AS n_gold, count(*) FILTER (b) AS n_matched, count(*) FILTER (pi IS NULL) AS n_missed, count(*) FILTER (gi IS NULL) AS n_extra, count(*) FILTER (b AND sm) AS n_site,
+  count(*) FILTER (b AND pm) AS n_pottery, count(*) FILTER (b) AS n_typology, count(*) FILTER (b AND st) AS n_start, count(*) FILTER (b AND en) AS n_end, count(*) FILTER (b AND ov) AS n_overlap, count(*) FILTER (b) / count(gi) AS recall FROM y GROUP BY ROLLUP (report_id)""")
+def detection_totals(t: Tables) -> DataFrame:
+    return sg.detection_totals(linked(t))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'record_' || row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS record_id FROM lineitem""")
+def record_numbers(t: Tables) -> DataFrame:
+    return rc.with_record_ids(t.lineitem, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "record_id")
+
+
 @query()
 def link_greedy(t: Tables) -> DataFrame:
     return mt.link_greedily(gold(t), output(t))

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.dates import in_scope
+from ..functions.predicates import out_of_scope_label
 
 #: Column names of a gold file and of an output file, by the name that the engine uses.
 GOLD_COLUMNS = {"pot": "Pot_name", "typ": "Typology", "start": "Start_date", "end": "End_date", "site": "Site_name", "quote": "Original_text", "page": "Page"}
-OUTPUT_COLUMNS = {"pot": "pottery", "typ": "typology", "start": "start_date", "end": "end_date", "site": "site_name", "quote": "original_text", "page": "page", "label": "context_label"}
+OUTPUT_COLUMNS = {"pot": "pottery", "typ": "typology", "start": "start_date", "end": "end_date", "site": "site_name", "quote": "original_text", "page": "page", "label": "context_label", "term": "term_found_normalized_en"}
 DROPPED_LABELS = ("absent", "comparison", "citation", "irrelevant")
 PATTERN_SCHEMA = "pattern_id string, type_id string, code string, category string, description string, regex string, canonical_hint string, preferred_label string, ware_type string, vessel_form string, chronology_id string, phase_code string, date_start int, date_end int"
 PERIOD_SCHEMA = "code string, label string, label_en string, start int, end int, kind string, prompt string, terms array<string>"
@@ -44,14 +46,22 @@ def to_int(value: Column) -> Column:
     return F.regexp_extract(F.trim(value), r"^-?\d+", 0).try_cast("int")
 
 
-def read_finds(spark: SparkSession, path: str, columns: dict[str, str], present_only: bool = False) -> DataFrame:
-    """Finds of gold or output files under the engine's names, with comparable keys."""
+def read_finds(spark: SparkSession, path: str, columns: dict[str, str], present_only: bool = False, window: tuple[int, int] | None = None) -> DataFrame:
+    """Finds of gold or output files under the engine's names, with comparable keys.
+
+    With ``present_only`` rows whose label says that they are no finds go, with ``window`` those
+    dated outside it and undated ones whose texts name another period only.
+    """
     table = read_table(spark, path, [columns["pot"], columns["typ"]])
     has = lambda k: k in columns and columns[k] in table.columns
     null = F.lit(None).cast("string")
-    rows = table.select("report_id", *[(F.col(f"`{columns[k]}`") if has(k) else null).alias(k) for k in ("pot", "typ", "start", "end", "site", "quote", "page", "label")])
+    rows = table.select("report_id", *[(F.col(f"`{columns[k]}`") if has(k) else null).alias(k) for k in ("pot", "typ", "start", "end", "site", "quote", "page", "label", "term")])
     if present_only:
         rows = rows.where(F.col("label").isNull() | ~F.col("label").isin(*DROPPED_LABELS))
+    if window:
+        start, end = to_int(F.col("start")), to_int(F.col("end"))
+        words = F.concat_ws(" ", "pot", "term", "quote")
+        rows = rows.where(in_scope(start, end, window) & ~(start.isNull() & end.isNull() & out_of_scope_label(words)))
     order = Window.partitionBy("report_id").orderBy(F.monotonically_increasing_id())
     return rows.select("report_id", F.row_number().over(order).cast("long").alias("id"), "pot", tx.typology_form(F.col("typ")).alias("typ"), F.col("typ").alias("raw_typ"), to_int(F.col("start")).alias("start"), to_int(F.col("end")).alias("end"), F.lower("site").alias("site"), F.col("site").alias("raw_site"), "quote", to_int(F.col("page")).alias("page"), tx.only_alnum(F.coalesce("pot", F.lit(""))).alias("key"), tx.tokens(F.coalesce("pot", F.lit(""))).alias("toks"))
 
@@ -155,12 +165,18 @@ def read_vocabulary(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 
 
 def list_reports(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(report_id, path, bucket, number) of the reports in a folder, in their custom order."""
+    """(report_id, path, bucket, bucket_rank, number) of the reports in a folder, in their custom order.
+
+    The bucket is the name before its last number, or all of it; known buckets go first.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path")
     name = stem(F.col("path"))
-    bucket = F.regexp_extract(name, r"^([a-z_]+?)_\d+$", 1)
-    rank = F.when(bucket == "old_rep", 0).when(bucket == "table", 1).when(bucket == "ocr", 2).when(bucket == "new_rep", 3).otherwise(4)
-    return files.select(name.alias("report_id"), "path", bucket.alias("bucket"), rank.alias("bucket_rank"), F.regexp_extract(name, r"(\d+)$", 1).try_cast("int").alias("number")).orderBy("bucket_rank", "number", "report_id")
+    shape = r"^([a-z_-]*?)[_-]?(\d+)$"
+    fits = name.rlike(shape)
+    bucket = F.when(fits, F.rtrim(F.regexp_extract(name, shape, 1), F.lit("_-"))).otherwise(name)
+    rank = F.when(bucket == "old_rep", 0).when(bucket == "table", 1).when(bucket == "ocr", 2).when(bucket == "new_rep", 3).otherwise(9)
+    number = F.when(fits, F.regexp_extract(name, shape, 2).try_cast("int")).otherwise(0)
+    return files.select(name.alias("report_id"), "path", bucket.alias("bucket"), rank.alias("bucket_rank"), number.alias("number")).orderBy("bucket_rank", "bucket", "number", "report_id")
 
 
 def tagged_grids(text: Column) -> Column:

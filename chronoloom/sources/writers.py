@@ -24,6 +24,15 @@ def write_table(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.orderBy(*keys).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_columns(rows: DataFrame, found: DataFrame, key: str, source: str, target: str) -> None:
+    """A CSV with further columns, by key; where they are there already they are replaced. Never over what is being read."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("columns cannot be appended to the table that is being read")
+    added = [c for c in found.columns if c != key]
+    joined = rows.drop(*added).join(found, key, "left")
+    joined.select(*[c for c in rows.columns if c not in added], *added).write.mode("overwrite").option("header", True).csv(target)
+
+
 def write_patterns(patterns: DataFrame, path: str) -> None:
     patterns.orderBy("pattern_id").write.mode("overwrite").json(path)
 

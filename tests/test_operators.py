@@ -262,6 +262,23 @@ def test_site_chain(spark):
     assert got[0] == got[1] == ("r", "Heerlen")
 
 
+def test_reports_in_their_order_and_appended_columns(spark, tmp_path):
+    for name in ("ocr_2", "old_rep_10", "old_rep-9", "zeta", "alpha_1", "new_rep_1", "table_3"):
+        (tmp_path / f"{name}.pdf").write_bytes(b"x")
+    got = [(r.report_id, r.bucket, r.number) for r in rd.list_reports(spark, str(tmp_path)).collect()]
+    assert got == [("old_rep-9", "old_rep", 9), ("old_rep_10", "old_rep", 10), ("table_3", "table", 3), ("ocr_2", "ocr", 2), ("new_rep_1", "new_rep", 1), ("alpha_1", "alpha", 1), ("zeta", "zeta", 0)]
+    out = tmp_path / "out.csv"
+    out.write_text("pottery,typology,start_date,end_date,original_text,term_found_normalized_en,context_label\nJar,,500,600,a,jar,present\nCup,,,,a medieval cup,cup,\nPan,,,,Roman to medieval,pan,\nLid,T 1,50,,medieval,lid,absent\nDish,,,,in text,iron age dish,\n")
+    names = lambda **how: [r.pot for r in rd.read_finds(spark, str(out), rd.OUTPUT_COLUMNS, **how).orderBy("id").collect()]
+    assert names() == ["Jar", "Cup", "Pan", "Lid", "Dish"] and names(window=(-52, 450)) == ["Pan", "Lid"] and names(present_only=True, window=(-52, 450)) == ["Pan"]
+    table = rd.read_table(spark, str(out)).select("pottery", "typology")
+    found = spark.createDataFrame([("Jar", "T 9", "X"), ("Cup", None, "Y")], "pottery string, typology string, std string")
+    wr.append_columns(table, found, "pottery", str(out), str(tmp_path / "more"))
+    assert sorted((r.pottery, r.typology, r["std"]) for r in rd.read_table(spark, str(tmp_path / "more")).collect())[:2] == [("Cup", None, "Y"), ("Dish", None, None)]
+    with pytest.raises(ValueError, match="being read"):
+        wr.append_columns(table, found, "pottery", str(out), f"{out}/")
+
+
 def test_hybrid_cascade(spark):
     page = ("Opgraving te Heel, Drag. 37 bakje en drie potten. Een pot, nog een kruik, een pot. Zie -27/3/5 en een kom cf. Stuart 9 uit de Midden tijd. Dolium, middeleeuws. "
             "Amphora Drag. 99/Stuart 9 en een urn.")
