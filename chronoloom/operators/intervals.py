@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 
 class Period(NamedTuple):
     label: str
@@ -145,6 +147,8 @@ def average_ranks(rows: DataFrame, value: str, out: str, slices: int = 4096) ->
 
     Equal values are counted first. Different values are ranked within slices of the range, and
     the rows of all slices below are added: ``slices`` + 1 sums that a window and a broadcast hold.
+    ``rows`` meet their ranks by their values and are read twice, so they have to be written before:
+    a sum of fractions differs in its last digits when its parts arrive in another order.
     """
     counts = rows.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_slice", F.floor(F.col(value) * slices))
     sums = counts.groupBy("_slice").agg(F.sum("_n").alias("_m"))
@@ -162,7 +166,8 @@ def profile_agreement(one: DataFrame, two: DataFrame, periods: tuple[Period, ...
     Over the proportions of the sites that both sets have; one row.
     """
     a, b = long_form(shares(site_weights(one, periods, site), periods), "p_", "x", periods, site), long_form(shares(site_weights(two, periods, site), periods), "p_", "y", periods, site)
-    both = a.join(b, [site, "period"]).where("x is not null and y is not null")
+    # written once: the sums of a second reading need not be the same numbers
+    both = materialise(a.join(b, [site, "period"]).where("x is not null and y is not null"), "profiles")
     order = {p.label: i for i, p in enumerate(periods)}
     place = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])[F.col("period")]
     top = lambda v: F.max_by("period", F.struct(F.col(v), -place))  # noqa: E731  the first of equals
