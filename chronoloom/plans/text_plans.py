@@ -84,7 +84,7 @@ def sectionise_headings(t: Tables) -> DataFrame:
     """Sections of each source's documents, with page breaks carried into their windows."""
     lines = pg.lines(reports(t)).withColumn("page", F.col("page_number"))
     marked = sc.mark_headings(lines, ["report_id"], ["page_number", "line_no"], places=["the", "and"], keywords=["introduction", "results", "literature"], provinces=["utr", "lb", "gld"])
-    out = sc.chunks(sc.sections(marked, ["report_id"], ["page_number", "line_no"], "page"), breaks="page_breaks")
+    out = sc.section_chunks(marked, ["report_id"], ["page_number", "line_no"], "page")
     return out.select("report_id", "section_no", "section_title", "site_name", "chunk_no", "text_offset_start", sc.page_at(F.col("page_breaks"), F.lit(600)).alias("page_at_600"), F.size("page_breaks").alias("n_breaks"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import intervals as iv
 from chronoloom.operators import matching as mt
 from chronoloom.operators import pages as pg
+from chronoloom.operators import sections as sc
 from chronoloom.plans import hybrid, registry
 
 
@@ -125,3 +126,21 @@ def test_no_row_of_the_cascade_carries_its_whole_report(spark):
     out = hybrid.without_previews(rows, pages)
     assert {r.term_found for r in out.collect()} == {"pot", "jug", "many"}
     assert "array_join" not in out._jdf.queryExecution().toString()
+
+
+def test_windows_of_sections_of_any_length(spark):
+    """Windows made of parts equal those that are cut from whole sections, and no section is put together for them."""
+    rng = random.Random(8)
+    text = lambda: rng.choice(("x" * rng.randrange(1, 9), "ab cd", "GULPEN.", "GULPEN. rest", " a\tb ", "long " * rng.randrange(1, 30), ""))
+    lines = [(r, p, n, text()) for r in ("r", "s", None) for p in range(30) for n in range(rng.randrange(0, 6))] + [("t", 1, 0, "GULPEN."), ("u", 1, 0, "y" * 40), ("v", 1, 0, "y" * 30), ("v", 2, 0, "z" * 9), ("w", 1, 0, "y" * 41)]
+    rows = spark.createDataFrame(lines, "report_id string, page int, line_no int, line string")
+    keys, order = ["report_id"], ["page", "line_no"]
+    marked = sc.mark_headings(rows, keys, order, places=["gulpen"], keywords=["results"], provinces=["utr"])
+    want = sc.chunks(sc.sections(marked, keys, order, "page"), size=40, overlap=7, breaks="page_breaks")
+    got = sc.section_chunks(marked, keys, order, "page", size=40, overlap=7)
+    assert sorted(map(repr, got.select(sorted(got.columns)).collect())) == sorted(map(repr, want.select(sorted(got.columns)).collect())) and got.count() > 60
+
+
+def test_no_section_is_put_together_for_its_windows(spark):
+    query = registry.QUERIES["sectionise_headings"](spark, "/root/testdata/sf0.001")
+    assert "_parts" not in query._jdf.queryExecution().toString()
