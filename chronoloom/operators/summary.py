@@ -5,7 +5,6 @@ Mentions of one chunk meet; a chunk has a bounded length, so a group does too.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..functions import certainty as ct
 from ..functions import dates as dt
 from ..functions import periods as pd
 from ..functions import text as tx
+from ..shared import materialise
 from .records import overall_certainty
 
 #: A name belongs to a typology code at most so many characters away.
@@ -43,22 +43,25 @@ def best_dates(mentions: DataFrame, contexts: list[str], vocabulary: list[tuple[
     ``contexts`` and, as structs of start and end that may be null, section_date, model_date and
     assigned_date.
     """
+    # mentions share sentences, so each different text is read once
+    texts = mentions.select(F.explode(F.array(*contexts)).alias("_text")).where("_text is not null").distinct()
+    worded = tx.modern_spelling(F.col("_text"))
+    texts = texts.select("_text", F.coalesce(dt.date_signals(worded), F.array().cast(ArrayType(dt.SIGNAL))).alias("_s"), pd.named_period(worded, vocabulary).alias("_p"))
+    high, medium, named = _narrowest(F.col("_s"), "high"), _narrowest(F.col("_s"), "medium"), F.col("_p")
+    century, period = _rung(medium["start"], medium["end"], "text_century"), _rung(named["start"], named["end"], "chron_vocab")
+    width = lambda r: F.struct(r["end"] - r["start"], r["start"], r["end"])
+    # of equals the one that sorts first: widths, ends, then chron_vocab before text_century
+    own = F.when(period.isNull(), century).when(century.isNull() | (width(period) <= width(century)), period).otherwise(century)
+    known = materialise(texts.select("_text", _rung(high["start"], high["end"], "text_explicit").alias("_x"), own.alias("_o")), "dated_texts")
     read = mentions
     for i, name in enumerate(contexts):
-        worded = tx.modern_spelling(F.col(name))
-        read = read.withColumns({f"_s{i}": F.coalesce(dt.date_signals(worded), F.array().cast(ArrayType(dt.SIGNAL))), f"_p{i}": pd.named_period(worded, vocabulary)})
-    explicit, own = [], []
-    for i in range(len(contexts)):
-        high, medium, named = _narrowest(F.col(f"_s{i}"), "high"), _narrowest(F.col(f"_s{i}"), "medium"), F.col(f"_p{i}")
-        explicit.append(_rung(high["start"], high["end"], "text_explicit"))
-        century, period = _rung(medium["start"], medium["end"], "text_century"), _rung(named["start"], named["end"], "chron_vocab")
-        width = lambda r: F.struct(r["end"] - r["start"], r["start"], r["end"])
-        # of equals the one that sorts first: widths, ends, then chron_vocab before text_century
-        own.append(F.when(period.isNull(), century).when(century.isNull() | (width(period) <= width(century)), period).otherwise(century))
+        side = known.select(F.col("_text").alias(f"_t{i}"), F.col("_x").alias(f"_x{i}"), F.col("_o").alias(f"_o{i}"))
+        read = read.join(side, F.col(name) == F.col(f"_t{i}"), "left")
+    explicit, own = [F.col(f"_x{i}") for i in range(len(contexts))], [F.col(f"_o{i}") for i in range(len(contexts))]
     further = [_rung(F.col(f"{c}.start"), F.col(f"{c}.end"), m) for c, m in (("section_date", "section_phase"), ("model_date", "llm_context"), ("assigned_date", "typology"))]
     ladder = F.coalesce(_rung(F.col("vocab_start"), F.col("vocab_end"), "typology"), *explicit, *own, *further)
     read = read.withColumn(out, F.when(~F.col("is_generic"), ladder))
-    return read.drop(*[f"_{k}{i}" for i in range(len(contexts)) for k in "sp"])
+    return read.drop(*[f"_{k}{i}" for i in range(len(contexts)) for k in "txo"])
 
 
 def pair_names(mentions: DataFrame, keys: list[str], most: int = REACH) -> DataFrame:
@@ -73,24 +76,45 @@ def pair_names(mentions: DataFrame, keys: list[str], most: int = REACH) -> DataF
     kinds = dict(mentions.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", mention_id {kinds['mention_id']}, name_id {kinds['mention_id']}, taken boolean"
 
-    def choose(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["position"])
-        codes, names = ([r for r in rows if r["kind"] == k] for k in ("typology", "name"))
-        begin, stop = (np.array([n[c] for n in names], np.int64) for c in ("start_char", "end_char"))
-        free, pairs = np.ones(len(names), bool), []
-        for code in codes:
-            gap = np.maximum(np.maximum(begin - code["end_char"], code["start_char"] - stop), 0)
-            near = np.flatnonzero(free & (gap <= most))
-            if len(near):
-                at = near[gap[near].argmin()]
-                taken = not code["known"] or bool(names[at]["is_form"])
-                free[at] = not taken
-                pairs.append((code["mention_id"], names[at]["mention_id"], taken))
-        ids = table.schema.field("mention_id").type
-        own = {k: pa.array([table[k][0].as_py()] * len(pairs), table.schema.field(k).type) for k in keys}
-        return pa.table(own | {"mention_id": pa.array([p[0] for p in pairs], ids), "name_id": pa.array([p[1] for p in pairs], ids), "taken": pa.array([p[2] for p in pairs], pa.bool_())})
-
-    return mentions.where(F.col("kind").isin("typology", "name")).select(*columns).groupBy(*keys).applyInArrow(choose, schema)
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        """The pairs of whole groups, whose rows stand together in the order of their positions."""
+        group = list(zip(*(table[k].to_pylist() for k in keys)))
+        ids, kind, begin, stop, own, form = (table[c].to_pylist() for c in ("mention_id", "kind", "start_char", "end_char", "known", "is_form"))
+        out, low = [], 0
+        while low < len(group):
+            high = low + 1
+            while high < len(group) and group[high] == group[low]:
+                high += 1
+            free = [i for i in range(low, high) if kind[i] == "name"]
+            for code in (i for i in range(low, high) if kind[i] == "typology"):
+                gap, name = min(((max(begin[i] - stop[code], begin[code] - stop[i], 0), i) for i in free), default=(most + 1, None))
+                if gap <= most:
+                    taken = not own[code] or bool(form[name])
+                    if taken:
+                        free.remove(name)
+                    out.append((code, name, taken))
+            low = high
+        columns = [pa.array([group[c][k] for c, _, _ in out], table.schema.field(name).type) for k, name in enumerate(keys)]
+        of = table.schema.field("mention_id").type
+        columns += [pa.array([ids[c] for c, _, _ in out], of), pa.array([ids[n] for _, n, _ in out], of), pa.array([t for _, _, t in out], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "mention_id", "name_id", "taken"])
+
+    def choose(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            at, last = table.num_rows, [table[k][-1].as_py() for k in keys] if table.num_rows else None
+            while at and [table[k][at - 1].as_py() for k in keys] == last:
+                at -= 1
+            held = table.slice(at)  # the last group may go on in the next batch
+            if at:
+                yield pairs_of(table.slice(0, at))
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    # many small groups share a batch: a call for each of them takes longer than what it does
+    dealt = mentions.where(F.col("kind").isin("typology", "name")).select(*columns).repartition(*keys).sortWithinPartitions(*keys, "position")
+    return dealt.mapInArrow(choose, schema)
 
 
 def build_rows(mentions: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,7 +127,7 @@ def build_rows(mentions: DataFrame, keys: list[str]) -> DataFrame:
     nothing takes the vessel before ``of form`` or ``of type`` from its sentence, and a
     catalogue number that stands right before the code.
     """
-    pairs = pair_names(mentions, keys)
+    pairs = materialise(pair_names(mentions, keys), "pairs")  # read twice
     on = [*keys, "mention_id"]
     names = mentions.select(*keys, F.col("mention_id").alias("name_id"), F.col("label").alias("_label"), F.col("date").alias("_date"))
     paired = pairs.join(names, [*keys, "name_id"]).select(*on, "_label", "_date")

@@ -247,13 +247,14 @@ def finds(t: Tables) -> DataFrame:
     say = lambda at: F.element_at(F.array(*map(F.lit, PHRASES)), (at % 6 + 1).cast("int"))
     kind = F.when(p % 7 == 0, "generic").when(p % 2 == 0, "typology").otherwise("name")
     span = lambda cond, a, b: F.when(cond, F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")))
-    return t.lineitem.select(
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return lines.select(
         k.alias("chunk"), (n * 1000000 + p).alias("mention_id"), kind.alias("kind"), (n * 1000000 + p).alias("position"), (p % 400).cast("int").alias("start_char"), (p % 400 + 9).cast("int").alias("end_char"),
         F.when(p % 3 == 0, F.concat(F.lit("known "), p % 5)).otherwise("").alias("known"), F.concat(F.lit("ware "), p % 11).alias("label"), (p % 5 == 0).alias("is_form"), F.concat(F.lit("T "), p % 60).alias("typology"),
         F.when(p % 10 == 0, F.lit(100)).alias("vocab_start"), F.when(p % 10 == 0, F.lit(300)).alias("vocab_end"), (p % 7 == 0).alias("is_generic"), say(p).alias("sentence"), say(k).alias("around"),
         span(k % 4 == 0, 150, 250).alias("section_date"), span(k % 5 == 0, 160, 260).alias("model_date"), span(k % 3 == 0, 0, 400).alias("assigned_date"),
         F.lit("present").alias("context_label"), ((p % 10) / 10).alias("context_confidence"), F.concat(F.lit("T "), p % 60).alias("term"),
-    ).distinct()
+    )
 
 
 #: What each phrase gives: an explicit range, and the narrower of its century and its named period.

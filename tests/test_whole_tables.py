@@ -12,6 +12,7 @@ from chronoloom.operators import intervals as iv
 from chronoloom.operators import matching as mt
 from chronoloom.operators import pages as pg
 from chronoloom.operators import sections as sc
+from chronoloom.operators import summary as sm
 from chronoloom.plans import hybrid, registry
 
 
@@ -144,3 +145,16 @@ def test_windows_of_sections_of_any_length(spark):
 def test_no_section_is_put_together_for_its_windows(spark):
     query = registry.QUERIES["sectionise_headings"](spark, "/root/testdata/sf0.001")
     assert "_parts" not in query._jdf.queryExecution().toString()
+
+
+def test_many_chunks_share_a_call(spark):
+    """Chunks are paired in batches, also those that lie across two of them; each different text is read once."""
+    schema = "chunk int, mention_id int, kind string, position int, start_char int, end_char int, known string, is_form boolean"
+    rows = [(c, c * 10 + i, "typology" if i < 2 else "name", i, i * 50, i * 50 + 5, "", False) for c in range(40) for i in range(5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pairs = sm.pair_names(spark.createDataFrame(rows, schema), ["chunk"])
+        assert "FlatMapGroups" not in pairs._jdf.queryExecution().toString()
+        assert {(r.mention_id, r.name_id, r.taken) for r in pairs.collect()} == {(c * 10 + k, c * 10 + k + 2, True) for c in range(40) for k in (0, 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
